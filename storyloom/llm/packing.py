@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .tokenizer import TOKENIZER_DIR, encode_batches
 
@@ -88,9 +89,8 @@ def pack_texts(df: DataFrame, capacity: int = 2048, key: str = "doc_id", text: s
     out, so their names can't clash. An empty table gives an empty result.
     """
     path = os.path.join(folder, tokenizer)
-    schema = df.select(F.col(key)).schema
-    for name, kind in (("piece", "int"), ("token_start", "int"), ("token_end", "int"), ("n_tokens", "int"), ("container_id", "long")):
-        schema = schema.add(name, kind)
+    added = "piece int, token_start int, token_end int, n_tokens int, container_id long"
+    schema = StructType(df.select(F.col(key)).schema.fields + StructType.fromDDL(added).fields)
 
     def packed(keys: pa.Array, tokens: np.ndarray, base: int) -> tuple[pa.RecordBatch, int]:
         pieces = np.maximum(1, -(-tokens // capacity))

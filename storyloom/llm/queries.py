@@ -5,12 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .lookalike import pairs_that_look_alike, with_one_form
+from .ngrams import marked, ngram_counts, terms_of, whole_value
 from .packing import pack_texts
+from .splitting import cut_inside_runs, split_oversized
 from .tokenizer import encode_corpus
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_that_look_alike(table(spark, sf_dir, "normalize_cases"), "case_id", ["input", "expected"])
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = table(spark, sf_dir, "normalize_cases").select("case_id", "input", "expected")
+    return with_one_form(cases, ["input", "expected"]).drop("input", "expected").distinct()
+
+
+def _finding_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings = table(spark, sf_dir, "findings").select("finding_id", "kind", "expected")
+    one = findings.select(F.lit("expected").alias("field_name"), "finding_id", terms_of(F.col("expected")).alias("terms"))
+    return one.unionByName(findings.select(F.lit("kind").alias("field_name"), "finding_id", whole_value(F.col("kind")).alias("terms")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ngram_counts(_finding_terms(spark, sf_dir), "field_name", "finding_id", "terms")
+    verdicts = marked(counts, table(spark, sf_dir, "findings"), "finding_id").where("verdict is not null")
+    return verdicts.select("field_name", F.col("ngram").alias("term"), "verdict")
+
+
+def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ngram_counts(_finding_terms(spark, sf_dir), "field_name", "finding_id", "terms", longest=3)
+    return marked(counts, table(spark, sf_dir, "findings"), "finding_id")
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "chunk_results"), table(spark, sf_dir, "chunk_profiles"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_inside_runs(_pieces(spark, sf_dir))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -21,6 +63,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p3_forms": p3_forms,
+        "p4_found": p4_found,
+        "p4_ngrams": p4_ngrams,
+        "p5_found": p5_found,
+        "p5_pieces": p5_pieces,
         "p6_ids": p6_ids,
         "p7_containers": p7_containers,
     }

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Folder of the public vocabulary files; a parameter of every operator here.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -289,7 +290,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     empty result. A narrow dependency: no shuffle, and a lost executor's partitions are simply read again.
     """
     path = os.path.join(folder, tokenizer)
-    schema = df.select(F.col(key)).schema.add("ids", "array<int>")
+    schema = StructType(df.select(F.col(key)).schema.fields + StructType.fromDDL("ids array<int>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, values, counts, _ in encode_batches(batches, path, "_key", "_text"):
