@@ -11,10 +11,32 @@ from ..sources.tables import table
 from .lookalike import pairs_that_look_alike, with_one_form
 from .ngrams import marked, ngram_counts, terms_of, whole_value
 from .packing import pack_texts
+from .repeated_lines import repeated_lines, text_records, without_lines
 from .splitting import cut_inside_runs, split_oversized
 from .tokenizer import encode_corpus
 
 
+def _site_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = text_records(table(spark, sf_dir, "documents"), "documents", "doc_id", "source", "text")
+    jobs = text_records(table(spark, sf_dir, "jobs"), "jobs", "seq", "source", "text", ["fiction_id", "book", "chapter"])
+    chapters = text_records(table(spark, sf_dir, "chapters"), "chapters", "chapter_id", "source", "title")
+    return documents.unionByName(jobs).unionByName(chapters)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(_site_texts(spark, sf_dir))
+
+
+def _without_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = repeated_lines(text_records(documents, "documents", "doc_id", "source", "text"))
+    return without_lines(documents.select("doc_id", "text"), "doc_id", "text", found)
+
+
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_site_lines(spark, sf_dir)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_that_look_alike(table(spark, sf_dir, "normalize_cases"), "case_id", ["input", "expected"])
 
@@ -63,6 +85,8 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_documents": p2_documents,
         "p3_found": p3_found,
         "p3_forms": p3_forms,
         "p4_found": p4_found,
