@@ -12,10 +12,19 @@ from .lookalike import pairs_that_look_alike, with_one_form
 from .ngrams import marked, ngram_counts, terms_of, whole_value
 from .packing import pack_texts
 from .repeated_lines import repeated_lines, text_records, without_lines
+from .sentences import gap_model_of, sentence_units
 from .splitting import cut_inside_runs, split_oversized
 from .tokenizer import encode_corpus
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = None
+    for name, row_id in (("documents", "doc_id"), ("chunk_results", "row_id"), ("jobs", "seq")):
+        part = table(spark, sf_dir, name).select(F.lit(name).alias("place"), F.col(row_id).alias("row_id"), "text")
+        texts = part if texts is None else texts.unionByName(part)
+    return sentence_units(texts, gap_model_of(texts.where("place = 'documents'")))
+
+
 def _site_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = text_records(table(spark, sf_dir, "documents"), "documents", "doc_id", "source", "text")
     jobs = text_records(table(spark, sf_dir, "jobs"), "jobs", "seq", "source", "text", ["fiction_id", "book", "chapter"])
@@ -85,6 +94,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_documents": p2_documents,
         "p3_found": p3_found,
