@@ -11,6 +11,7 @@ from ..sources.tables import table
 from .lookalike import pairs_that_look_alike, with_one_form
 from .ngrams import marked, ngram_counts, terms_of, whole_value
 from .packing import pack_texts
+from .readability import reading_levels
 from .repeated_lines import repeated_lines, text_records, without_lines
 from .sentences import gap_model_of, sentence_units
 from .splitting import cut_inside_runs, split_oversized
@@ -92,6 +93,14 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(_without_site_lines(spark, sf_dir), table(spark, sf_dir, "level_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where("demanding").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -105,6 +114,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": p5_pieces,
         "p6_ids": p6_ids,
         "p7_containers": p7_containers,
+        "p8_found": p8_found,
+        "p8_levels": p8_levels,
     }
 
 
