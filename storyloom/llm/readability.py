@@ -39,8 +39,9 @@ for _lang, _words in _FUNCTION_WORDS.items():
         _LANGUAGE_OF[_w] = (*_LANGUAGE_OF.get(_w, ()), _lang)
 
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
-_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-_LATIN = re.compile("[A-Za-zÀ-ɏ]")
+_WORD = re.compile(r"\w+(?:[-'’]\w+)*")
+_CAPITALIZED = re.compile(r"\b[A-ZÀ-ÖØ-ÞŒ]\w*(?:[-'’]\w+)*")
+_OTHER_SCRIPT = re.compile("[Ͱ-ᷟⰀ-鿿가-힣]+")
 
 
 def language_of(words: Counter) -> str | None:
@@ -57,28 +58,33 @@ def language_of(words: Counter) -> str | None:
     return lang if n >= max(1 if total < 15 else 2, 0.02 * total) else None
 
 
-def text_statistics(text: str) -> tuple[str, int, int, dict[str, int], list[str]] | None:
-    """(language, words, sentences, count of each word that isn't a name, all distinct words); None for another language.
+def text_statistics(text: str) -> tuple[str, int, int, list[str], list[int]] | None:
+    """(language, words, sentences, distinct words, how often each occurs but as a name); None for another language.
 
     A word with a capital inside a sentence is a name and so familiar, but for German, which capitalizes nouns too.
     """
-    text = _UNSEEN.sub("", text)
-    found = [(m.start(), m.group()) for m in _WORD.finditer(text)]
-    letters = sum(len(w) for _, w in found)
-    if not found or len(_LATIN.findall(text)) < 0.5 * letters:
+    if not text.isascii():
+        text = _UNSEEN.sub("", text)
+    words = Counter(_WORD.findall(text.lower()))
+    for w in [w for w in words if w[0].isdigit() or w[0] == "_"]:
+        del words[w]
+    letters = sum(len(w) * n for w, n in words.items())
+    if not letters or not text.isascii() and sum(map(len, _OTHER_SCRIPT.findall(text))) > 0.5 * letters:
         return None
-    words = Counter(w.lower() for _, w in found)
     lang = language_of(words)
     if lang is None:
         return None
-    starts = [m.start() for a, b in units(text) if (m := _WORD.search(text, a, b))]
-    first = set(starts)
-    common = Counter(w.lower() for at, w in found if at in first or not w[0].isupper()) if lang != "de" else words
-    return lang, len(found), len(starts), dict(common), list(words)
+    starts = [m for a, b in units(text) if (m := _WORD.search(text, a, b))]
+    counts = list(words.values())
+    if lang != "de":
+        names = Counter(w.lower() for w in _CAPITALIZED.findall(text))
+        names.subtract(m.group().lower() for m in starts if m.group()[0].isupper())
+        counts = [max(0, n - names[w]) for w, n in words.items()]
+    return lang, sum(words.values()), len(starts), list(words), counts
 
 
 def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
-    schema = "_key long, lang string, n_words int, n_sentences int, words array<string>, counts array<int>, seen array<string>"
+    schema = "_key long, lang string, n_words int, n_sentences int, words array<string>, counts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,11 +94,10 @@ def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
                 pa.array([r[1] for r in rows], pa.string()),
                 pa.array([r[2] for r in rows], pa.int32()),
                 pa.array([r[3] for r in rows], pa.int32()),
-                pa.array([list(r[4]) for r in rows], pa.list_(pa.string())),
-                pa.array([list(r[4].values()) for r in rows], pa.list_(pa.int32())),
-                pa.array([r[5] for r in rows], pa.list_(pa.string())),
+                pa.array([r[4] for r in rows], pa.list_(pa.string())),
+                pa.array([r[5] for r in rows], pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["_key", "lang", "n_words", "n_sentences", "words", "counts", "seen"])
+            yield pa.RecordBatch.from_arrays(columns, names=["_key", "lang", "n_words", "n_sentences", "words", "counts"])
 
     return texts.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, schema)
 
@@ -191,7 +196,7 @@ def reading_levels(texts: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     stats = written(_statistics(texts, key, text))
     of = {r["lang"]: r["n"] for r in stats.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     least = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v * FAMILIAR_SHARES[0])) for k, v in of.items()), F.lit(0.0)) if of else F.lit(0.0)
-    frequent = stats.select("lang", F.explode("seen").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    frequent = stats.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     tiers: dict[str, dict[str, int]] = {}
     for r in frequent.collect():
         tiers.setdefault(r["lang"], {})[r["w"]] = sum(r["n"] >= s * of[r["lang"]] for s in FAMILIAR_SHARES)

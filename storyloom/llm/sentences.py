@@ -25,11 +25,18 @@ _BREAKS = "\n\r\x0b\x0c\x85  "
 _ENDS = ".!?…。！？।॥؟۔｡‼⁇⁈⁉"
 _BARE = "฀-໿ក-៿က-႟"  # Thai, Lao, Khmer, Burmese: no sentence ends are marked
 _QUOTED = "\"'”’»›」』）)】〉》\\]“"
-_PLACE = re.compile(
-    f"(?P<line>[{_BREAKS}]+)"
-    f"|(?P<mark>(?:\\.[   ]){{2,}}\\.|[。！？!?]+(?=…+[぀-ヿ㐀-鿿])|[{_ENDS}]+)(?P<close>(?:[{_UNSEEN}]|[    ]*»(?!\\w)|[”’›」』）)】〉》\\]]|[\"'“](?!\\w))*)(?P<gap>[^\\S{_BREAKS}]*)"
+_CLOSE = (
+    f"(?P<close>(?:[{_UNSEEN}]|[    ]*»(?!\\w)|[”’›」』）)】〉》\\]]|[\"'“](?!\\w))*)(?P<gap>[^\\S{_BREAKS}]*)"
+)
+_MARK = f"(?P<mark>(?<=\\.)(?:[   ]\\.){{2,}}|(?<=[。！？!?])[。！？!?]*(?=…+[぀-ヿ㐀-鿿])|[{_ENDS}]*){_CLOSE}"
+#: A line's end, or a mark with what closes after it. The first character alone decides whether to look further.
+_STOP = f"[{_BREAKS}{_ENDS}](?:(?<=[{_BREAKS}])(?P<line>[{_BREAKS}]*)|(?<=[{_ENDS}]){_MARK})"
+_PLACE = re.compile(_STOP)
+_PLACE_OR_GAP = re.compile(
+    f"{_STOP}"
     f"|(?<=[{_BARE}”\"'’)\\d])(?P<bare>[^\\S{_BREAKS}]+)(?=[{_BARE}“\"'‘(\\d])"
 )
+_UNMARKED = re.compile(f"[{_BARE}]")
 _STRIP = re.compile(f"[{_UNSEEN}]")
 _HAS_WORD = re.compile(r"\w")
 _LEADING = re.compile(r"^[\W_]+")
@@ -40,6 +47,7 @@ _ORDINAL = re.compile(r"\d+(?:st|nd|rd|th)")
 _INITIALS = re.compile(r"\bthe (?:[A-Z]\. )+[A-Z]$")
 _HAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 _DASH = "—–―-"
+_OPENING = "“\"‘«„「『¿¡([（" + _DASH
 
 # Abbreviations (lower case, without the last full stop) that a capital follows within a sentence.
 _BEFORE_NAME = frozenset(
@@ -90,14 +98,17 @@ def _odd_start(word: str) -> bool:
 
 def _mark_score(left: str, mark: str, close: str, gap: bool, right: str) -> float:
     """Log-odds that a unit ends behind ``mark`` and ``close``; ``right`` is the rest of the line without its spaces."""
-    if not _HAS_WORD.search(right[:200]) and not _HAS_WORD.search(right):
-        return -8.0  # what follows holds no word: it belongs here
     first = right[0]
+    if not first.isalnum() and not _HAS_WORD.search(right):
+        return -8.0  # what follows holds no word: it belongs here
     if first in ",;:，、；：،؛)]）】”’」』»":
         return -8.0
-    word = _LEADING.sub("", right.split(None, 1)[0])
-    small = first.islower() or bool(word) and not first.isalnum() and word[0].islower() and first not in "“\"‘«„「『¿¡([（" + _DASH
-    quoted = any(c in _QUOTED for c in close)
+    if first.isalnum():
+        word, small = right[:40].split(None, 1)[0], first.islower()
+    else:
+        word = _LEADING.sub("", right[:40].split(None, 1)[0])
+        small = word[:1].islower() and first not in _OPENING
+    quoted = bool(close) and any(c in _QUOTED for c in close)
     if mark == "." and not gap and not quoted and not _HAN.match(right):
         return -7.0
     if first in _DASH:
@@ -109,7 +120,7 @@ def _mark_score(left: str, mark: str, close: str, gap: bool, right: str) -> floa
         if quoted and _tagged(right):
             return -5.0
         return 6.0
-    asian = bool(_HAN.match(right))
+    asian = first > "\u2fff" and bool(_HAN.match(right))
     if not gap and not asian and not quoted:
         if mark == "." or first.isdigit() or not first.isupper():
             return -7.0
@@ -256,7 +267,8 @@ def units(text: str, gap_model: dict[str, float] | None = None) -> list[tuple[in
             found.append((a, b))
 
     line_end = -1
-    for m in _PLACE.finditer(text):
+    bare = not text.isascii() and _UNMARKED.search(text)
+    for m in (_PLACE_OR_GAP if bare else _PLACE).finditer(text):
         kind = m.lastgroup
         if kind == "line":
             close_line(m.start())
@@ -282,7 +294,7 @@ def units(text: str, gap_model: dict[str, float] | None = None) -> list[tuple[in
             stop = m.end("close")
             left = text[max(line_start, places[-1][1] if places and scores[-1] > 0 else 0, at - 40) : at]
             places.append((stop, after))
-            scores.append(_mark_score(left, m.group("mark"), m.group("close"), after > stop, right))
+            scores.append(_mark_score(left, text[at : m.end("mark")], m.group("close"), after > stop, right))
     close_line(len(text))
     return found
 
