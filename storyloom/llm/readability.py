@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sampling import bounded_sample
 from ..sources.scratch import written
 from .sentences import units
 
-#: Labelled texts that weights are fitted on, at most: those of the lowest hashes.
+#: Labelled texts that weights are fitted on, about so many at most, chosen by hash.
 MOST_LABELS = 20_000
 #: Shares of a language's documents tried as the least share that makes a word familiar. The lowest bounds the list:
 #: no more than the average number of distinct words of a document, divided by it, can be that frequent.
@@ -202,7 +203,7 @@ def reading_levels(texts: DataFrame, labels: DataFrame, key: str = "doc_id", tex
         tiers.setdefault(r["lang"], {})[r["w"]] = sum(r["n"] >= s * of[r["lang"]] for s in FAMILIAR_SHARES)
     counted = _tier_counts(stats, tiers)
     valid = labels.select(F.col(key).cast("long").alias("_id"), F.col(grade).cast("double").alias("_g"), *([F.col("rater")] if "rater" in labels.columns else [])).where("_id is not null and _g between 1 and 13").distinct()
-    wanted = valid.groupBy("_id").agg(F.median("_g").alias("_g")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)
+    wanted = bounded_sample(valid, "_id", MOST_LABELS).groupBy("_id").agg(F.median("_g").alias("_g"))
     labelled = _tier_counts(stats.join(F.broadcast(wanted.select(F.col("_id").alias("_key"))), "_key", "left_semi"), tiers).join(F.broadcast(wanted), F.col("_key") == F.col("_id"))
     rows = sorted((r["_key"], r["lang"], r["n_words"], r["n_sentences"], r["outside"], r["_g"]) for r in labelled.collect())
     model = fit_formula([r[1:] for r in rows])

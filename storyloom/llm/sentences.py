@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of unpunctuated scripts on which the model for them is trained: those of the lowest hashes, at most so many.
+from ..sources.sampling import bounded_sample
+
+#: Lines of unpunctuated scripts on which the model for them is trained: chosen by hash, about so many at most.
 TRAINING_LINES = 20_000
 
 _UNSEEN = "­​-‏⁠﻿"
@@ -305,11 +307,11 @@ _UNSEEN_SET = frozenset(_UNSEEN_CHARS)
 
 
 def gap_model_of(texts: DataFrame, text: str = "text", most: int = TRAINING_LINES) -> dict[str, float]:
-    """The model for unpunctuated scripts, trained on at most ``most`` of the lines that hold such a script."""
+    """The model for unpunctuated scripts, trained on about ``most`` of the distinct lines that hold such a script."""
     holds = f"[{_BARE}]{{4}}"
     lines = texts.where(F.col(text).rlike(holds)).select(F.explode(F.split(text, f"[{_BREAKS}]+")).alias("line")).where(F.col("line").rlike(holds))
-    sample = lines.orderBy(F.xxhash64("line"), "line").limit(most)
-    return train_gap_model(["\n".join(r[0] for r in sample.collect())])
+    sample = bounded_sample(lines, "line", most).distinct()
+    return train_gap_model(["\n".join(sorted(r[0] for r in sample.collect()))])
 
 
 def sentence_units(texts: DataFrame, gap_model: dict[str, float]) -> DataFrame:
