@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.types import BOOLEAN, DOUBLE, INT, STRING, array, struct
 from ..functions.text import comparable
 from ..functions.words import STOPWORDS, read_cardinal, tokens
 
@@ -32,7 +33,7 @@ def ratio(a, b) -> float:  # noqa: ANN001
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2·M/T of two texts by characters, 1 for two empty ones; null if either is null."""
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -134,7 +135,7 @@ def defects(expected: str, heard: list[dict], segments: list[dict] | None = None
     return sorted(out, key=lambda d: -d["severity"])
 
 
-_DEFECT = "kind: string, expected: string, heard: string, severity: double, causes: array<string>, audio_start: double, audio_end: double, context: string"
+_DEFECT = struct(kind=STRING, expected=STRING, heard=STRING, severity=DOUBLE, causes=array(STRING), audio_start=DOUBLE, audio_end=DOUBLE, context=STRING)
 
 
 def reading_defects(df: DataFrame, key: list[str], expected: str, heard: str) -> DataFrame:
@@ -144,7 +145,7 @@ def reading_defects(df: DataFrame, key: list[str], expected: str, heard: str) ->
     form are dropped in the JVM before any is aligned.
     """
 
-    @F.pandas_udf(f"array<struct<{_DEFECT}>>")
+    @F.pandas_udf(array(_DEFECT))
     def found(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in parts:
             yield pd.Series([defects(x, [{"word": t} for t, _, _ in tokens(y)]) for x, y in zip(a, b)])
@@ -186,7 +187,7 @@ def confirmed(base: DataFrame, strong: DataFrame, keys: list[str], slack: float
     return own.join(hits.union(near).distinct(), "_row", "left_semi").drop("_row")
 
 
-@F.pandas_udf("struct<reference: int, matched: int, missing_tail: boolean>")
+@F.pandas_udf(struct(reference=INT, matched=INT, missing_tail=BOOLEAN))
 def word_recall(expected: pd.Series, heard: pd.Series) -> pd.DataFrame:
     """How many words of the expected text were heard, in order, and whether its last three were not."""
     rows = []
