@@ -119,5 +119,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: White space as a class for DuckDB's regular expressions.
+_S = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+_P2 = f"""WITH t AS (SELECT 'documents' AS place, source, doc_id AS row_id, CAST(doc_id AS VARCHAR) AS record, text FROM documents UNION ALL
+SELECT 'jobs', source, seq, concat_ws('|', coalesce(fiction_id, '-'), coalesce(CAST(book AS VARCHAR), '-'), coalesce(CAST(chapter AS VARCHAR), '-')), text FROM jobs UNION ALL SELECT 'chapters', source, chapter_id, CAST(chapter_id AS VARCHAR), title FROM chapters),
+l AS (SELECT place, source, row_id, record, line_no, regexp_replace(regexp_replace(regexp_replace(lower(line), '^{_S}+|{_S}+$', '', 'g'), '{_S}+', ' ', 'g'), '\\p{{Nd}}+', '0', 'g') AS k
+FROM (SELECT place, source, row_id, record, unnest(ls) AS line, CAST(generate_subscripts(ls, 1) AS INTEGER) AS line_no FROM (SELECT *, string_split(text, chr(10)) AS ls FROM t WHERE source IS NOT NULL)) WHERE length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= 3),
+c AS (SELECT place, source, k, count(DISTINCT record) AS n FROM l GROUP BY ALL), a AS (SELECT place, source, count(DISTINCT record) AS n FROM t WHERE source IS NOT NULL GROUP BY ALL)
+SELECT DISTINCT place, row_id, line_no FROM l JOIN c USING (place, source, k) JOIN a USING (place, source) WHERE c.n >= 4 AND c.n >= 0.02 * a.n"""
+
+_P4 = f"""WITH r AS (SELECT DISTINCT finding_id, kind, expected FROM findings WHERE finding_id IS NOT NULL), t AS (SELECT 'expected' AS field_name, finding_id, unnest(regexp_extract_all(lower(expected), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS term FROM r
+UNION ALL SELECT 'kind', finding_id, lower(regexp_replace(kind, '^{_S}+|{_S}+$', '', 'g')) FROM r WHERE kind IS NOT NULL)
+SELECT field_name, term, CASE WHEN n < 3 THEN 'rare' ELSE 'common' END AS verdict FROM (SELECT field_name, term, count(DISTINCT finding_id) AS n FROM t WHERE term <> '' GROUP BY ALL) WHERE n < 3 OR n > 0.05 * (SELECT count(DISTINCT finding_id) FROM findings)"""
+
+_P5 = r"""SELECT DISTINCT row_id FROM chunk_results JOIN chunk_profiles USING (profile) WHERE length(text) > max_chars
+AND list_max(list_transform(string_split_regex(text, '[\t-\r \x{85}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}。！？、，；：…]'), lambda x: length(x))) > max_chars"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2, "p4_found": _P4, "p5_found": _P5}
