@@ -171,7 +171,7 @@ def _mark_score(left: str, mark: str, close: str, gap: bool, right: str) -> floa
 def viterbi(scores: list[float], filled: list[bool]) -> list[bool]:
     """The best tagging of a chain of places as boundary (True) or inside. ``filled[i]``: a word lies between place
     i - 1, or the beginning, and place i; a unit without one is all but forbidden."""
-    inside, boundary = 0.0, -12.0
+    inside, boundary = -math.inf, 0.0  # a text begins as behind a boundary
     back: list[tuple[bool, bool]] = []
     for s, full in zip(scores, filled):
         again = boundary if full else boundary - 12.0
