@@ -46,9 +46,11 @@ def strip_leading_notes(c: Column) -> Column:
 
 
 def scene_breaks(c: Column) -> Column:
-    """Rows of stars, dashes or underscores and rules become a blank line."""
-    for pattern in (r"(?U)\s*(?:\\\*){3,}\s*", r"(?U)\s*\*{3,}\s*", r"(?U)\s*-{3,}\s*", r"(?U)\s*_{3,}\s*", r"(?U)\s*(?:\*\s+){2,}\*\s*", r"(?i)<hr\s*/?>"):
-        c = F.regexp_replace(c, pattern, "\n\n")
+    """Rows of stars, dashes or underscores and rules become a blank line. Each pattern is sought only where its sign occurs."""
+    for sign, pattern in (
+        ("\\*", r"(?U)\s*(?:\\\*){3,}\s*"), ("***", r"(?U)\s*\*{3,}\s*"), ("---", r"(?U)\s*-{3,}\s*"), ("___", r"(?U)\s*_{3,}\s*"), ("*", r"(?U)\s*(?:\*\s+){2,}\*\s*"), ("<", r"(?i)<hr(?U:\s)*/?>"),
+    ):
+        c = F.when(c.contains(sign), F.regexp_replace(c, pattern, "\n\n")).otherwise(c)
     return c
 
 
