@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,16 +107,23 @@ def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
 def _tier_counts(statistics: DataFrame, tiers: dict[str, dict[str, int]]) -> DataFrame:
     """(_key, lang, n_words, n_sentences, outside): outside[i] words aren't familiar at the i-th of FAMILIAR_SHARES."""
     n = len(FAMILIAR_SHARES)
+    known = {lang: (pa.array(list(t), pa.string()), np.array([*t.values(), 0])) for lang, t in tiers.items()}
+    nothing = (pa.array([], pa.string()), np.zeros(1, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outside = []
-            for lang, words, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "counts"))):
-                tier, by_tier = tiers.get(lang, {}), [0] * (n + 1)
-                for w, k in zip(words, counts):
-                    by_tier[tier.get(w, 0)] += k
-                outside.append(np.cumsum(by_tier[:n]).tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_key", "lang", "n_words", "n_sentences")), pa.array(outside, pa.list_(pa.int32()))], names=["_key", "lang", "n_words", "n_sentences", "outside"])
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            outside = np.zeros((len(langs), n), np.int32)
+            for lang in dict.fromkeys(langs):
+                at = np.flatnonzero(langs == lang)
+                words, counts = (batch.column(c).take(pa.array(at)) for c in ("words", "counts"))
+                listed, tier = known.get(lang, nothing)
+                found = np.asarray(pc.fill_null(pc.index_in(words.flatten(), value_set=listed), -1))
+                row = np.repeat(np.arange(len(at)), np.asarray(pc.list_value_length(words)))
+                by_tier = np.bincount(row * (n + 1) + tier[found], weights=np.asarray(counts.flatten()), minlength=len(at) * (n + 1))
+                outside[at] = by_tier.reshape(-1, n + 1)[:, :n].cumsum(1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(langs) * n + 1, n, dtype=np.int32)), pa.array(outside.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_key", "lang", "n_words", "n_sentences")), lists], names=["_key", "lang", "n_words", "n_sentences", "outside"])
 
     return statistics.mapInArrow(run, "_key long, lang string, n_words int, n_sentences int, outside array<int>")
 
