@@ -28,7 +28,7 @@ def unique_events(events: DataFrame, late: str = "30 minutes") -> DataFrame:
 
 
 def latest_by_key(events: DataFrame, keys: list[str], ttl_ms: int = 600_000) -> DataFrame:
-    """The latest event of each key, emitted whenever it changes; a key unseen for ``ttl_ms`` is forgotten."""
+    """The latest event of each key, emitted whenever it changes; a key unseen for ``ttl_ms`` of the events' own time is forgotten."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,11 +40,11 @@ def latest_by_key(events: DataFrame, keys: list[str], ttl_ms: int = 600_000) ->
             if row["id"] > held[0]:
                 held = (int(row["id"]), row["type"])
         state.update(held)
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + ttl_ms)
         yield pd.DataFrame([(*key, *held)], columns=[*keys, "id", "type"])
 
     fields = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    return events.groupBy(*keys).applyInPandasWithState(step, f"{fields}, id long, type string", "id long, type string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("at", "0 seconds").groupBy(*keys).applyInPandasWithState(step, f"{fields}, id long, type string", "id long, type string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -15,7 +15,7 @@ PAGE = """<style>.zq{display : none}</style><a href="/x">home</a><div class="Cha
 
 def test_pages(spark):
     text, links = H.parse_page(PAGE)
-    assert text.startswith("One two\n\nThree\n\nfour") and "stolen" not in text and "var a" not in text and "outside" not in text
+    assert text.startswith("One two Three\n\nfour") and "stolen" not in text and "var a" not in text and "outside" not in text
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "id int, html string")
     got = sorted((r["number"], r["title"]) for r in H.chapter_links(df, "id", "html").collect())
     assert got == [(1, "First"), (2, "Second")]
