@@ -164,6 +164,7 @@ def confirmed(base: DataFrame, strong: DataFrame, keys: list[str], slack: float
     low_confidence one whose audio interval comes within ``slack`` seconds.
 
     Both tests are equi-joins: on words, and on buckets of time that an interval touches. Rows of null keys or intervals agree with none.
+    What a test found is joined back by the values it was made from, so the order in which rows arrive makes no difference.
     """
     stop = F.array(*(F.lit(w) for w in sorted(STOPWORDS)))
 
@@ -175,16 +176,18 @@ def confirmed(base: DataFrame, strong: DataFrame, keys: list[str], slack: float
     def buckets(start: Column, end: Column) -> Column:
         return F.sequence(F.floor(start / bucket), F.floor(F.greatest(start, F.coalesce(end, start)) / bucket))
 
-    own = strong.withColumn("_row", F.monotonically_increasing_id())
-    by_word = own.where("kind <> 'low_confidence'").select(*keys, "_row", F.explode(words("expected")).alias("_w"))
+    spoken = strong.where("kind <> 'low_confidence'")
+    by_word = spoken.select(*keys, "expected").distinct().withColumn("_w", F.explode(words("expected")))
     said = base.select(*keys, F.explode(words("expected")).alias("_w")).distinct()
-    hits = by_word.join(said, [*keys, "_w"], "left_semi").select("_row")
+    hits = by_word.join(said, [*keys, "_w"], "left_semi").select(*keys, "expected").distinct()
     spans = base.where("audio_start is not null").select(*keys, (F.col("audio_start") - slack).alias("_a"), (F.coalesce("audio_end", "audio_start") + slack).alias("_b"))
     spans = spans.withColumn("_k", F.explode(buckets(F.col("_a"), F.col("_b"))))
-    low = own.where("kind = 'low_confidence' and audio_start is not null").select(*keys, "_row", F.col("audio_start").alias("_s"), F.coalesce("audio_end", "audio_start").alias("_e"))
-    low = low.withColumn("_k", F.explode(buckets(F.col("_s"), F.col("_e"))))
-    near = low.join(spans, [*keys, "_k"]).where("_s <= _b and _a <= _e").select("_row")
-    return own.join(hits.union(near).distinct(), "_row", "left_semi").drop("_row")
+    low = strong.where("kind = 'low_confidence' and audio_start is not null").withColumn("_e", F.coalesce("audio_end", "audio_start"))
+    at = [*keys, "audio_start", "_e"]
+    each = low.select(*at).distinct().withColumn("_k", F.explode(buckets(F.col("audio_start"), F.col("_e"))))
+    near = each.join(spans, [*keys, "_k"]).where("audio_start <= _b and _a <= _e").select(*at).distinct()
+    found = spoken.join(hits, [*keys, "expected"], "left_semi").select(*strong.columns)
+    return found.union(low.join(near, at, "left_semi").select(*strong.columns))
 
 
 @F.pandas_udf(struct(reference=INT, matched=INT, missing_tail=BOOLEAN))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 from difflib import SequenceMatcher
 
@@ -106,6 +107,21 @@ def test_confirmation_by_words_and_times(spark):
     assert A.confirmed(base.limit(0), strong, ["chunk"]).count() == 0
 
 
+def test_confirmation_whatever_the_order_of_rows(spark):
+    """As behind a shuffle on several executors, rows come in another order whenever the frame is evaluated."""
+    kind = "id int, chunk int, kind string, expected string, audio_start double, audio_end double"
+    base = spark.createDataFrame([(0, c, "omission", f"word{c}", float(c), None) for c in range(0, 400, 2)], kind)
+    rows = [(c, c, "omission", f"word{c}", None, None) for c in range(400)] + [(1000 + c, c, "low_confidence", "(segment)", float(c), c + 0.2) for c in range(400)]
+
+    def mixed(frames):
+        for f in frames:
+            yield f.sample(frac=1, random_state=int.from_bytes(os.urandom(4), "big"))
+
+    strong = spark.createDataFrame(rows + rows[:3], kind).coalesce(1).mapInPandas(mixed, kind)
+    wanted = sorted(r[0] for r in rows + rows[:3] if r[1] % 2 == 0)
+    assert sorted(r["id"] for r in A.confirmed(base, strong, ["chunk"]).collect()) == wanted
+
+
 def test_phones(spark):
     assert P.injected("abcdef", "abcxyzuvdef") == [{"phones": "xyzuv", "length": 5, "position": 0.27, "severity": 0.5}]
     assert P.tail_artifact("Here.", "abc", "abckl") == {"phones": "kl", "length": 2, "displaced": "", "severity": 0.6}
