@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def increasing_times(time: Column, partition: list[str], order: list[str]) -> Column:
     """Times made strictly increasing: one that isn't later than its forerunner is a second later than that. Exact for whole seconds."""
@@ -54,9 +56,10 @@ def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 1) -
     """``df`` numbered from ``start`` in a global order without bringing all rows into one task.
 
     Rows are sorted by ranges, each range is numbered by itself, and the ranges' sizes — one number a task — shift the rest.
-    ``order`` should be total, for the ranges are made twice.
+    The ranges are cut once and written, for their bounds come from a sample that is another one at each run. Of rows that are
+    equal in ``order``, any may come first.
     """
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = dict(parts.groupBy("_p").count().collect())
     shift, at = {}, start - 1
     for p in sorted(sizes):

@@ -168,6 +168,17 @@ def test_ordered_operators(spark):
     assert [round(r["smoothed"], 4) for r in W.limiter_gain(g, ["k"], "i", "g", 1).orderBy("i").collect()] == [round(x / 3, 4) for x in (2.0, 1.5, 2.0, 2.5)]
 
 
+def test_numbers_over_several_sampled_ranges(spark):
+    """More rows than the sample of the ranges' bounds holds, and ranges that aren't merged into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40_000, numPartitions=4).select(((F.col("id") * 7919) % 40_009).alias("at"))
+        got = [r["n"] for r in W.numbered(df, ["at"], "n", 11).orderBy("at").collect()]
+        assert got == list(range(11, 40_011))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rollups(spark):
     chunks = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1)], "chapter string, chunk int")
     findings = spark.createDataFrame([("a", 1), ("a", 1), ("c", 9)], "chapter string, chunk int")
