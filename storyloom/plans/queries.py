@@ -107,7 +107,7 @@ def normalize_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", B.blocks_to_prose(normalized(F.col("text"))).alias("spoken"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", normalized(B.blocks_to_prose(F.col("text"))).alias("spoken"))
 
 
 @query()

@@ -38,6 +38,16 @@ def test_query(spark, data, name):
         assert got == rows(columns, result.fetchall())
 
 
+def test_documents_have_tables_and_rosters_in_words(spark, tmp_path):
+    table = "Before.\n| Name | Age |\n|---|---|\n| Anna | 412 |\nAfter."
+    roster = "No. Name Pos Age Int Wage [CA PA] CA +/-\n1. Marek Masarik GK 38 SVK 30000 [152 165] 11\n\nProse."
+    spark.createDataFrame([(1, table), (2, roster), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spoken"] for r in Q.QUERIES["normalize_documents"](spark, str(tmp_path)).collect()}
+    assert got[1] == "Before.\nName: Anna, Age: four hundred twelve.\nAfter."
+    assert got[2] == "Number 1, Marek Masarik, goalkeeper, age 38, Slovakia, wage thirty thousand pounds. P. A. one hundred sixty-five, C. A. one hundred fifty-two, up 11.\n\nProse."
+    assert got[3] is None
+
+
 def test_nothing_imports_the_optional_subpackage():
     root = os.path.dirname(storyloom.__file__)
     for path in glob.glob(f"{root}/**/*.py", recursive=True):
