@@ -52,6 +52,23 @@ def test_whole_normalization_and_notices():
     assert M.notices("Nobody stole it.\nReport any sightings.") == "Nobody stole it.\n"
 
 
+# Sentences that are notices, each by another rule, and sentences that only look like one.
+NOTICES = [
+    "This tale has been unlawfully lifted from Royal Road.", "The genuine version is on RoyalRoad!", "Stolen content warning: this belongs on Royal Road.", "Unauthorized duplication is theft.", "If you see it on Amazon, please report it.",
+    "This book on Amazon was pirated.", "Support the authors who deserve it!", "You could be reading stolen content.", "Reading on this site?", "Read the chapter on the original site.", "Please report any sightings.", "Report any occurrences.",
+]
+NO_NOTICES = ["They rode along the royal road.", "The Amazon is a river.", "She sold a book on Amazon.", "Authors wrote the report.", "He could be reading."]
+
+
+def test_notices_of_the_default_site(spark):
+    rows = [(s, True) for s in NOTICES] + [(s, False) for s in NO_NOTICES]
+    df = spark.createDataFrame([(f"One. {s} Two.", s, gone, "remove_notices") for s, gone in rows], "text string, s string, gone boolean, step string")
+    for r in df.select("s", "gone", M.normalized(F.col("text")).alias("a"), M.normalized(F.col("text"), F.col("step")).alias("b"), M.normalized(F.col("text"), F.col("step"), sites=("some site",)).alias("c")).collect():
+        wanted = "One. Two." if r["gone"] else f"One. {r['s']} Two."
+        assert (r["a"], r["b"]) == (wanted, wanted)
+        assert (r["c"] != wanted) == (r["s"] in (NOTICES[1], NOTICES[2]))
+
+
 def test_chunks():
     text = "First sentence here. Second one follows, with a comma. Third.\n\nNext paragraph."
     found = C.chunks_of(text, C.Profile(40))
