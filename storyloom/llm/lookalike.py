@@ -126,8 +126,10 @@ def automaton(rules: dict[str, str]) -> ahocorasick.Automaton:
 
 def rewrite(text: str | None, auto: ahocorasick.Automaton) -> str | None:
     """The text's one form: decomposed, rewritten left to right by the longest patterns, and composed again."""
-    if not text or text.isascii() and text.isprintable():
+    if not text:
         return text
+    if text.isascii() and text.isprintable() and (not len(auto) or next(auto.iter(text), None) is None):
+        return text  # an ASCII character is a pattern where its look-alike is more frequent
     text = unicodedata.normalize("NFD", text)
     out, at = [], 0
     if len(auto):

@@ -94,3 +94,12 @@ def test_pairs(spark):
     wanted |= {("expected", a, b) for a, b in itertools.combinations(range(0, len(SAME), 2), 2)} | {("expected", 101, 102)}
     assert got == sorted(wanted)
     assert L.pairs_that_look_alike(df.limit(0), "case_id", ["input"]).count() == 0
+
+
+def test_pairs_where_look_alikes_outnumber_ascii(spark):
+    texts = ["оса", "oca", "oсa", "ｏca", "эхо", "эxo", "fine", "ﬁne", "dig", "оо аа сс хх ее іі", "оо аа сс хх ее іі"]
+    df = spark.createDataFrame(list(enumerate(texts)), "case_id long, input string")
+    got = {(r["case_a"], r["case_b"]) for r in L.pairs_that_look_alike(df, "case_id", ["input"]).collect()}
+    assert got == {*itertools.combinations(range(4), 2), (4, 5), (6, 7)}
+    forms = {r["input"]: r["input_form"] for r in L.with_one_form(df, ["input"]).collect()}
+    assert forms["oca"] == "оса" and forms["dig"] == "dіg"
