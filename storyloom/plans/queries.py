@@ -20,7 +20,7 @@ from ..operators import rollups as R
 from ..operators import windows as W
 from ..operators.normalize import normalized
 from ..sources.html import chapter_links, page_parts
-from ..sources.tables import spread, table
+from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,7 +83,7 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 '{_S}*_{{3,}}{_S}*', chr(10)||chr(10), 'g'), '{_S}*(?:\\*{_S}+){{2,}}\\*{_S}*', chr(10)||chr(10), 'g'), '(?i)<hr{_S}*/?>', chr(10)||chr(10), 'g') AS s FROM (
 SELECT doc_id, regexp_replace(regexp_replace(text, '^(?:{_S}*\\[[^\\]]*\\]{_S}*|{_S}*\\d+\\.?[ \\t]*(?:\\n|$))+', ''), '^\\n+', '') AS n FROM documents))""")
 def clean_documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.whitespace(T.scene_breaks(T.strip_leading_notes(F.col("text")))).alias("clean"))
+    return table(spark, d, "documents").select("doc_id", "text").select("doc_id", T.whitespace(T.scene_breaks(T.strip_leading_notes(F.col("text")))).alias("clean"))
 
 
 @query(f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS n, p AS paragraph FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
@@ -107,7 +107,7 @@ def normalize_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", normalized(B.blocks_to_prose(F.col("text"))).alias("spoken"))
+    return table(spark, d, "documents").select("doc_id", "text").select("doc_id", normalized(B.blocks_to_prose(F.col("text"))).alias("spoken"))
 
 
 @query()
@@ -118,7 +118,7 @@ def comparable_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return C.chunk_texts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", C.LONG)
+    return C.chunk_texts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", C.LONG)
 
 
 @query()

@@ -13,10 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores, spread over them; any other as it is.
-
-    For work in Python on a table of few files. Tables of the intended size have more partitions and aren't shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of each text file, read whole."""
+    return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path as path", "value as text")
