@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread, table
+from ..sources.tables import table
 from .lookalike import pairs_that_look_alike, with_one_form
 from .ngrams import marked, ngram_counts, terms_of, whole_value
 from .packing import pack_texts
 from .readability import reading_levels
 from .repeated_lines import repeated_lines, text_records, without_lines
-from .sentences import gap_model_of, sentence_units
+from .sentences import sentence_model_of, sentence_units
 from .splitting import cut_inside_runs, split_oversized
 from .tokenizer import encode_corpus
 
@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, row_id in (("documents", "doc_id"), ("chunk_results", "row_id"), ("jobs", "seq")):
         part = table(spark, sf_dir, name).select(F.lit(name).alias("place"), F.col(row_id).alias("row_id"), "text")
         texts = part if texts is None else texts.unionByName(part)
-    return sentence_units(spread(texts), gap_model_of(texts.where("place = 'documents'")))
+    return sentence_units(texts, sentence_model_of(table(spark, sf_dir, "documents")))
 
 
 def _site_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +86,11 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
