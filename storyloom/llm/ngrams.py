@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Separates terms in a suffix; sorts below every character of a term, so prefixes stand next to their extensions.
 SEP = "\x01"
-#: Ways over which the suffixes of one first term are spread, by their second term.
-SALTS = 8
 
 
 def terms_of(text: Column) -> Column:
@@ -78,7 +76,7 @@ def _stack_counts(rows: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, i
     yield from pop_to(0)
 
 
-def ngram_counts(sequences: DataFrame, group: str, record: str, terms: str, longest: int = 1) -> DataFrame:
+def ngram_counts(sequences: DataFrame, group: str, record: str, terms: str, longest: int = 3) -> DataFrame:
     """Occurrences and records of every run of up to ``longest`` terms: ``group``, ngram (terms joined by spaces),
     n_terms, occurrences, records.
 
@@ -86,8 +84,9 @@ def ngram_counts(sequences: DataFrame, group: str, record: str, terms: str, long
     and record are one record; exactly repeated ones count once, different ones together. Null records, null and empty
     sequences count nothing; null or empty terms are left out; a null group counts as ''. Other columns are ignored. An empty table gives an empty result.
 
-    Equal suffixes are counted within each partition before anything is routed, and those that share a first term are
-    spread by their second, so no frequent term meets in one task; a last sum joins the parts.
+    Equal suffixes are counted within each partition before they are routed by their first term. Those of one first term
+    are spread by their second over as many ways as the session has shuffle partitions, so a frequent term never
+    meets in one task; a last sum joins the parts. Nothing depends on how many terms or rows there are.
     """
     base = sequences.where(F.col(record).isNotNull() & (F.size(terms) > 0)).select(F.col(group).alias("_g"), F.col(record).alias("_r"), F.filter(terms, lambda t: F.coalesce(t, F.lit("")) != "").alias("_t"))
     own = base.groupBy("_g", "_r").agg(F.collect_set("_t").alias("_s"))
@@ -133,9 +132,10 @@ def ngram_counts(sequences: DataFrame, group: str, record: str, terms: str, long
         if held:
             yield packed(held)
 
-    pieces = own.select("_g", "_s").mapInArrow(emit, "_g string, _s string, _seen int, _n long").groupBy("_g", "_s", "_seen").agg(F.sum("_n").alias("_n"))
+    pieces = own.select("_g", "_s").mapInArrow(emit, "_g string, _s string, _seen int, _n long")
     parts = F.split("_s", SEP)
-    routed = pieces.repartition(F.col("_g"), parts[0], F.pmod(F.xxhash64(F.get(parts, F.lit(1))), F.lit(SALTS))) if longest > 1 else pieces
+    ways = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = pieces.repartition(F.col("_g"), parts[0], F.pmod(F.xxhash64(F.get(parts, F.lit(1))), F.lit(ways)))
     counted = routed.sortWithinPartitions(F.desc("_g"), F.desc("_s")).mapInArrow(stack, "_g string, _t string, _o long, _rec long")
     total = counted.groupBy("_g", "_t").agg(F.sum("_o").alias("occurrences"), F.sum("_rec").alias("records"))
     return total.select(F.col("_g").alias(group), F.translate("_t", SEP, " ").alias("ngram"), F.size(F.split("_t", SEP)).alias("n_terms"), "occurrences", "records")

@@ -62,15 +62,14 @@ def _finding_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(findings.select(F.lit("kind").alias("field_name"), "finding_id", whole_value(F.col("kind")).alias("terms")))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ngram_counts(_finding_terms(spark, sf_dir), "field_name", "finding_id", "terms")
-    verdicts = marked(counts, table(spark, sf_dir, "findings"), "finding_id").where("verdict is not null")
-    return verdicts.select("field_name", F.col("ngram").alias("term"), "verdict")
+    return marked(counts, table(spark, sf_dir, "findings"), "finding_id")
 
 
-def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = ngram_counts(_finding_terms(spark, sf_dir), "field_name", "finding_id", "terms", longest=3)
-    return marked(counts, table(spark, sf_dir, "findings"), "finding_id")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = p4_ngrams(spark, sf_dir).where("n_terms = 1 and verdict is not null")
+    return terms.select("field_name", F.col("ngram").alias("term"), "verdict")
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

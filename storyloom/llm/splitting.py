@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,9 @@ def _natural(text: str) -> list[list[int]]:
 
 
 def _near(cuts: list[int], a: int, b: int, middle: float) -> int | None:
-    return min((c for c in cuts if a < c < b), key=lambda c: (abs(c - middle), c), default=None)
+    """The cut between ``a`` and ``b``, which lie around ``middle``, nearest to it; the lower of two as near."""
+    i = bisect_left(cuts, middle)
+    return min((c for c in cuts[max(0, i - 1) : i + 1] if a < c < b), key=lambda c: (abs(c - middle), c), default=None)
 
 
 def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
@@ -43,15 +46,25 @@ def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, boo
     A stretch longer than ``limit - overlap`` is cut at the strongest boundary near its midpoint — within its middle
     half, or else the nearest natural boundary of all — and both halves are treated alike. A stretch that holds no
     natural boundary stays whole while it is within ``limit`` (its overlap is then narrower); only beyond that is it
-    cut where no boundary is, until overlaps fit too, and the piece behind such a cut is marked as forced.
+    cut where no boundary is, until overlaps fit too. Closing quotes stay with the mark before them. The piece behind a cut
+    inside a run of more than ``limit`` characters without a natural boundary is marked as forced, whatever it was cut at.
     """
     if len(text) <= limit:
         return [(0, len(text), False)] if text else []
     room = max(1, limit - overlap)
     cuts = _natural(text)
+    behind, either = cuts[-2], cuts[-1]
     todo: list[tuple[int, int, bool]] = [(0, len(text), False)]
     pieces: list[tuple[int, int, bool]] = []
     torn: set[int] = set()
+
+    def inside_run(c: int) -> bool:
+        i = bisect_left(either, c)
+        if i < len(either) and either[i] == c:
+            return False
+        i = bisect_right(behind, c)
+        return (behind[i] - 1 if i < len(behind) else len(text)) - (behind[i - 1] if i else 0) > limit
+
     while todo:
         a, b, forced = todo.pop()
         if b - a <= room:
@@ -60,35 +73,29 @@ def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, boo
         middle, quarter = (a + b) / 2, (b - a) / 4
         cut = next((c for level in cuts[:-1] if (c := _near(level, int(a + quarter), int(b - quarter) + 1, middle)) is not None), None)
         if cut is None:
-            cut = _near(cuts[-2], a, b, middle)
+            cut = _near(behind, a, b, middle)
         if cut is None and b - a <= limit and not torn & {a, b}:
             pieces.append((a, b, forced))
             continue
-        hard = False
         if cut is None:
-            cut = _near(cuts[-1], a, b, middle)
+            cut = _near(either, a, b, middle)
         if cut is None:
-            hard = True
             joints = [m.start() for m in _JOINT.finditer(text, a + 1, b)]
             cut = _near(joints, int(a + quarter), int(b - quarter) + 1, middle)
             if cut is None:
                 cut = int(middle)
-                while cut + 1 < b and (_STICKY.match(text, cut) or text[cut - 1] == "‍"):
+                while cut + 1 < b and (_STICKY.match(text, cut) or text[cut - 1] == "\u200d"):
                     cut += 1
                 if cut + 1 >= b:
                     cut = int(middle)
             torn.add(cut)
-        todo.append((cut, b, hard))
+        todo.append((cut, b, inside_run(cut)))
         todo.append((a, cut, forced))
     return pieces
 
 
-def with_overlap(text: str, pieces: list[tuple[int, int, bool]], limit: int, overlap: int) -> list[tuple[int, int, bool]]:
-    """The pieces, each but the first begun up to ``overlap`` characters earlier, within ``limit``.
-
-    The overlap begins at a natural boundary where one lies in the second half of the wanted stretch's extent;
-    otherwise it has the full width, so that neighbours always share what the limit leaves room for.
-    """
+def with_overlap(pieces: list[tuple[int, int, bool]], limit: int, overlap: int) -> list[tuple[int, int, bool]]:
+    """The pieces, each but the first begun ``overlap`` characters earlier, or as many as ``limit`` and the piece before leave room for."""
     result = []
     for k, (a, b, forced) in enumerate(pieces):
         back = min(overlap, limit - (b - a), a - pieces[k - 1][0]) if k else 0
@@ -123,7 +130,7 @@ def split_oversized(chunks: DataFrame, profiles: DataFrame, key: str = "row_id")
             for i, (text, at, limit, overlap) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 5)))):
                 overlap = min(overlap, limit - 1)
                 own = bisect_text(text, limit, overlap)
-                for k, ((a, b, forced), (core, _, _)) in enumerate(zip(with_overlap(text, own, limit, overlap), own), 1):
+                for k, ((a, b, forced), (core, _, _)) in enumerate(zip(with_overlap(own, limit, overlap), own), 1):
                     rows.append((k, a, b, None if at is None else at + a, None if at is None else at + b, core - a, forced, text[a:b]))
                     parent.append(i)
             keys = batch.column(0).take(pa.array(parent, pa.int64()))

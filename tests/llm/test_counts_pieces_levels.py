@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -54,17 +55,23 @@ def test_pieces():
     for _ in range(400):
         limit = r.randrange(5, 60)
         overlap = r.choice([0, 0, limit // 10, limit // 3])
-        text = "".join(r.choice("abcdefgh é\xa0​—- \n.,。，") if r.random() < 0.9 else "x" * r.randrange(30) for _ in range(r.randrange(300)))
+        text = "".join(r.choice("abcdefgh é\xa0​—- \n.,。，।”") if r.random() < 0.9 else "x" * r.randrange(30) for _ in range(r.randrange(300)))
         own = P.bisect_text(text, limit, overlap)
         assert "".join(text[a:b] for a, b, _ in own) == text
         assert all(b - a <= limit for a, b, _ in own)
         assert any(f for *_, f in own) == (len(text) > limit and longest_run(text) > limit)
-        wide = P.with_overlap(text, own, limit, overlap)
+        wide = P.with_overlap(own, limit, overlap)
         assert all(b - a <= limit and own[i][0] - a <= overlap for i, (a, b, _) in enumerate(wide))
     assert P.bisect_text("One sentence here. Another sentence there.", 30, 0) == [(0, 19, False), (19, 42, False)]
     assert P.bisect_text("", 5, 0) == []
 
 
+def test_long_texts_are_cut_in_time_in_proportion():
+    start = time.perf_counter()
+    pieces = P.bisect_text("The cat sat, then left. " * 80_000, 400, 40)
+    assert time.perf_counter() - start < 10 and len(pieces) > 4000
+
+
 def test_piece_rows(spark):
     chunks = spark.createDataFrame([(1, "p", "word " * 30, 100), (2, "p", "y" * 50, None), (3, "p", "short", 0), (4, "q", "z" * 99, 0), (5, None, "z" * 99, 0), (6, "p", None, 0), (1, "p", "word " * 30, 100)], "row_id long, profile string, text string, text_start int").withColumn("piece", F.lit("clash"))
     profiles = spark.createDataFrame([("p", 40, 8), ("r", None, 0)], "profile string, max_chars int, overlap_chars int")
