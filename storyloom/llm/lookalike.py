@@ -15,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
+#: Spellings of one form that are paired in one group.
+BLOCK_TEXTS = 1000
 #: Letters of other scripts drawn like a Latin letter, as "letter: look-alikes".
 LOOK_ALIKES = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "G": "Ꮐ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ", "K": "ΚКᏦ", "L": "Ꮮ",
@@ -158,15 +162,16 @@ def code_point_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {chr(r["cp"]): r["n"] for r in per.collect()}
 
 
-def with_one_form(df: DataFrame, columns: list[str]) -> DataFrame:
+def with_one_form(df: DataFrame, columns: list[str], counts: dict[str, int] | None = None) -> DataFrame:
     """``df`` with a column ``<name>_form`` for each of ``columns``: texts that look the same have equal forms.
 
     Width, composition and script of characters, kinds of white space and invisible characters make no difference;
     letter case, accents, raised digits and other letters do. Null stays null, an empty text empty. All rows and other columns
     stay; an existing column of a new name is replaced. An empty table gives an empty result.
-    One job counts code points; their number, and so what the driver holds and sends out, is bounded by Unicode.
+    One job counts code points, unless their ``counts`` are given; their number, and so what the driver holds and sends out,
+    is bounded by Unicode.
     """
-    rules = rewriting(code_point_counts(df, columns))
+    rules = rewriting(code_point_counts(df, columns) if counts is None else counts)
 
     @F.pandas_udf("string")
     def form(texts):  # noqa: ANN001, ANN202
@@ -176,23 +181,38 @@ def with_one_form(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"{c}_form": form(F.col(c)) for c in columns})
 
 
-def pairs_that_look_alike(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(field_name, case_a, case_b): different keys, the lower first, whose texts have one form but aren't equal.
+def look_alike_classes(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(field_name, key, text, form, class_id, links), distinct: every key with a text in ``columns`` whose look another,
+    different text of the same column shares. ``links`` is the number of (key, text) with such other texts.
+
+    A class is named by a 64-bit hash of its field and form, which also is there itself. Copies of a text have no links to each other. Null keys
+    and texts are in no class; repeated rows count once. Other columns of ``df`` are left out. An empty table gives an empty result.
+
+    Forms are made once and written; classes and links come from counts by text and by form, without pairs.
+    """
+    fields = F.explode(F.array(*(F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in columns)))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), fields.alias("_f")).select("key", "_f.*").where("text is not null").distinct()
+    forms = written(with_one_form(rows, ["text"], code_point_counts(df, columns)).withColumnRenamed("text_form", "form"))
+    per_text = forms.groupBy("field_name", "form", "text").agg(F.count("*").alias("_same"))
+    per_form = per_text.groupBy("field_name", "form").agg(F.count("*").alias("_texts"), F.sum("_same").alias("_all")).where("_texts > 1")
+    known = per_text.join(per_form, ["field_name", "form"])
+    return forms.join(known, ["field_name", "form", "text"]).select("field_name", "key", "text", "form", F.xxhash64("field_name", "form").alias("class_id"), (F.col("_all") - F.col("_same")).alias("links"))
+
+
+def pairs_of(classes: DataFrame) -> DataFrame:
+    """(field_name, case_a, case_b): different keys, the lower first, of one class whose texts aren't equal.
 
     Texts are paired once for each form and pair of different spellings, however many keys share a spelling, and keys
-    are attached afterwards; so copies never meet each other. Null keys and texts have no pairs; repeated rows count once.
-    A key with several texts is paired by each of them, but never with itself.
+    are attached afterwards; so copies never meet each other. A form of many spellings is met in blocks of BLOCK_TEXTS: each
+    block is a group of its own in the join. A key with several texts is paired by each of them, but never with itself.
     """
-    forms = with_one_form(df.select(key, *columns), columns)
-    stacked = None
-    for c in columns:
-        part = forms.select(F.lit(c).alias("field_name"), F.col(key).alias("_k"), F.col(c).alias("_text"), F.col(f"{c}_form").alias("_form"))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    rows = stacked.where("_k is not null and _text is not null").distinct()
-    spellings = rows.select("field_name", "_form", "_text").distinct()
-    several = spellings.groupBy("field_name", "_form").agg(F.count("*").alias("_n")).where("_n > 1").select("field_name", "_form")
-    spellings = spellings.join(several, ["field_name", "_form"], "left_semi")
-    both = spellings.join(spellings.select("field_name", "_form", F.col("_text").alias("_other")), ["field_name", "_form"]).where("_text < _other").select("field_name", "_text", "_other")
-    keys = rows.select("field_name", "_text", "_k")
-    pairs = both.join(keys, ["field_name", "_text"]).withColumnRenamed("_k", "_a").join(keys.select("field_name", F.col("_text").alias("_other"), F.col("_k").alias("_b")), ["field_name", "_other"])
-    return pairs.where("_a <> _b").select("field_name", F.least("_a", "_b").alias("case_a"), F.greatest("_a", "_b").alias("case_b")).distinct()
+    keys = written(classes.select("field_name", "form", "text", "key"))
+    texts = keys.select("field_name", "form", "text").distinct()
+    blocks = texts.groupBy("field_name", "form").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("_blocks"))
+    sized = texts.join(blocks, ["field_name", "form"])
+    left = sized.withColumn("_block", F.pmod(F.xxhash64("text"), F.col("_blocks")).cast("int"))
+    right = sized.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumnRenamed("text", "_other")
+    both = left.drop("_blocks").join(right.drop("_blocks"), ["field_name", "form", "_block"]).where("text < _other").select("field_name", "text", "_other")
+    a, b = keys.select("field_name", "text", F.col("key").alias("_a")), keys.select("field_name", F.col("text").alias("_other"), F.col("key").alias("_b"))
+    pairs = both.join(a, ["field_name", "text"]).join(b, ["field_name", "_other"]).where("_a <> _b")
+    return pairs.select("field_name", F.least("_a", "_b").alias("case_a"), F.greatest("_a", "_b").alias("case_b")).distinct()

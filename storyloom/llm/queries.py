@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .lookalike import pairs_that_look_alike, with_one_form
+from .lookalike import look_alike_classes, pairs_of, with_one_form
 from .ngrams import marked, ngram_counts, terms_of, whole_value
 from .packing import pack_texts
 from .readability import reading_levels
-from .repeated_lines import repeated_lines, text_records, without_lines
+from .repeated_lines import Repeated, repeated_lines, repeated_templates, text_records, without_lines
 from .sentences import sentence_model_of, sentence_units
 from .splitting import cut_inside_runs, split_oversized
 from .tokenizer import encode_corpus
@@ -37,18 +37,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(_site_texts(spark, sf_dir))
 
 
-def _without_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    found = repeated_lines(text_records(documents, "documents", "doc_id", "source", "text"))
-    return without_lines(documents.select("doc_id", "text"), "doc_id", "text", found)
+def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_templates(_site_texts(spark, sf_dir))
+
+
+def _without_site_lines(records: DataFrame) -> DataFrame:
+    """Texts without the site lines of their source; those without source lose the site lines of any."""
+    repeated = Repeated(records)
+    found = repeated.found().unionByName(repeated.found_without_source())
+    return without_lines(records.select("place", "row_id", "text"), ["place", "row_id"], "text", found)
 
 
 def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _without_site_lines(spark, sf_dir)
+    return _without_site_lines(_site_texts(spark, sf_dir))
+
+
+def _look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_classes(table(spark, sf_dir, "normalize_cases"), "case_id", ["input", "expected"])
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _look_alikes(spark, sf_dir).select("field_name", F.col("key").alias("case_id"), "class_id", "links")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_that_look_alike(table(spark, sf_dir, "normalize_cases"), "case_id", ["input", "expected"])
+    return pairs_of(_look_alikes(spark, sf_dir))
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +106,9 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading_levels(_without_site_lines(spark, sf_dir), table(spark, sf_dir, "level_labels"))
+    records = text_records(table(spark, sf_dir, "documents"), "documents", "doc_id", "source", "text")
+    texts = _without_site_lines(records).select(F.col("row_id").alias("doc_id"), "text")
+    return reading_levels(texts, table(spark, sf_dir, "level_labels"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_documents": p2_documents,
+        "p2_templates": p2_templates,
         "p3_found": p3_found,
+        "p3_classes": p3_classes,
         "p3_forms": p3_forms,
         "p4_found": p4_found,
         "p4_ngrams": p4_ngrams,

@@ -39,7 +39,7 @@ def test_lines_against_brute_force(spark):
     found = R.repeated_lines(R.text_records(df, "p", "id", "source", "text", ["rec"]))
     got = [(x["row_id"], x["line_no"]) for x in found.collect()]
     assert len(got) == len(set(got)) and set(got) == brute_lines(rows)
-    clean = R.without_lines(df.select("id", "text", "source"), "id", "text", found.select("row_id", "line_no"))
+    clean = R.without_lines(df.select("id", "text", "source"), ["id"], "text", found.select(F.col("row_id").alias("id"), "line_no"))
     drop = brute_lines(rows)
     wanted = Counter((i, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in drop)) for i, _, _, t in rows)
     assert Counter((x["id"], x["text"]) for x in clean.collect()) == wanted
@@ -50,11 +50,28 @@ def test_no_lines(spark):
     assert R.repeated_lines(R.text_records(df, "p", "id", "source", "text")).count() == 0
 
 
-def test_trees_give_one_key_whatever_they_have_seen():
-    a, b = R.TemplateTree(2), R.TemplateTree(2)
-    for x in ("one two three 4", "one two five 4", "one two three", "x y z w"):
-        a.key(x)
-    assert a.key("One  TWO three 99") == b.key("one two three 4") != b.key("one two three x") and a.key("a1 2") is None
+def test_keys_and_nodes_depend_on_tokens():
+    a = R.LineParser(2)
+    key, node, _ = a.parse("one two three 4")
+    assert a.parse("One  TWO\xa0three 99")[:2] == (key, node) and a.parse("a1 2") is None
+    assert a.parse("one two five 4")[1] == node and a.parse("one two five 4")[0] != key
+    assert a.parse("one two three")[1] != node != a.parse("one x three 4")[1]
+
+
+def test_templates_merge_with_wildcards():
+    leaf, other = R.Leaf(), R.Leaf()
+    assert [leaf.add(x.split(), n) for n, x in enumerate(["posted by alice on monday", "posted by bob on friday", "posted by a guest reader", "posted by alice on sunday"])] == [0, 0, 2, 0]
+    assert leaf.templates[0] == ["posted", "by", R.WILD, "on", R.WILD] and len(leaf.templates) == 2
+    assert other.add("posted by carol on friday".split(), 7) == 7
+    assert other.add(leaf.templates[0], 0) == 7 and other.templates == [leaf.templates[0]]
+
+
+def test_bylines_that_differ_in_a_name_are_one_template(spark):
+    names, days = ["Alice", "Bob", "Carol", "Dan", "Eve", "Finn"], ["Monday", "Friday", "Sunday"]
+    rows = [(i, "a", f"Posted by {names[i % 6]} on {days[i % 3]}\nStory {'x' * i} goes {'y' * i}\nPage {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, source string, text string").repartition(4)
+    got = {r["template"]: (r["records"], r["share"]) for r in R.repeated_templates(R.text_records(df, "p", "id", "source", "text")).collect()}
+    assert got["posted by * on *"] == (60, 1.0) and got["page #"] == (60, 1.0)
 
 
 SAME = ["Café gift ﬁne", "Café gift fine", "Ｃａｆé　gift fine", "Саfé\xa0gift f​ine", "C­afé gi﻿ft ﬁne", "Ⅽafé gift fine".replace("Ⅽ", "С")]
@@ -88,18 +105,28 @@ def test_pairs(spark):
     rows = [(i, t, None if i % 2 else t) for i, t in enumerate(SAME + OTHER)]
     rows += [(100, SAME[0], None), (101, SAME[0], ""), (None, SAME[1], ""), (102, None, "​")] + rows[:3]
     df = spark.createDataFrame(rows, "case_id long, input string, expected string").withColumn("field_name", F.lit("clash"))
-    got = sorted(map(tuple, L.pairs_that_look_alike(df, "case_id", ["input", "expected"]).collect()))
+    got = sorted(map(tuple, L.pairs_of(L.look_alike_classes(df, "case_id", ["input", "expected"])).collect()))
     same = [(i, t) for i, t, _ in dict.fromkeys(rows) if t in SAME and i is not None]
     wanted = {("input", min(a, b), max(a, b)) for (a, s), (b, t) in itertools.combinations(same, 2) if s != t}
     wanted |= {("expected", a, b) for a, b in itertools.combinations(range(0, len(SAME), 2), 2)} | {("expected", 101, 102)}
     assert got == sorted(wanted)
-    assert L.pairs_that_look_alike(df.limit(0), "case_id", ["input"]).count() == 0
+    assert L.pairs_of(L.look_alike_classes(df.limit(0), "case_id", ["input"])).count() == 0
+    classes = L.look_alike_classes(df, "case_id", ["input"]).collect()
+    assert {r["key"] for r in classes} == {i for i, _ in same} and len({r["class_id"] for r in classes}) == 1
+    assert all(r["links"] == sum(t != r["text"] for _, t in same) for r in classes)
+
+
+def test_many_spellings_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_TEXTS", 3)
+    df = spark.createDataFrame([(i, "a" + "\u200b" * (i % 10)) for i in range(20)], "case_id long, input string")
+    got = {(r["case_a"], r["case_b"]) for r in L.pairs_of(L.look_alike_classes(df, "case_id", ["input"])).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(20), 2) if a % 10 != b % 10}
 
 
 def test_pairs_where_look_alikes_outnumber_ascii(spark):
     texts = ["оса", "oca", "oсa", "ｏca", "эхо", "эxo", "fine", "ﬁne", "dig", "оо аа сс хх ее іі", "оо аа сс хх ее іі"]
     df = spark.createDataFrame(list(enumerate(texts)), "case_id long, input string")
-    got = {(r["case_a"], r["case_b"]) for r in L.pairs_that_look_alike(df, "case_id", ["input"]).collect()}
+    got = {(r["case_a"], r["case_b"]) for r in L.pairs_of(L.look_alike_classes(df, "case_id", ["input"])).collect()}
     assert got == {*itertools.combinations(range(4), 2), (4, 5), (6, 7)}
     forms = {r["input"]: r["input_form"] for r in L.with_one_form(df, ["input"]).collect()}
     assert forms["oca"] == "оса" and forms["dig"] == "dіg"
