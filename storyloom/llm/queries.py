@@ -112,7 +112,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_levels(spark, sf_dir).where("demanding").select("doc_id").distinct()
+    return p8_levels(spark, sf_dir).where("demanding and lang in ('en', 'de', 'fr', 'es')").select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

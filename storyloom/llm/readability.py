@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 
 from ..sources.sampling import bounded_sample
 from ..sources.scratch import written
-from .sentences import units
-
 #: Labelled texts that weights are fitted on, about so many at most, chosen by hash.
 MOST_LABELS = 20_000
-#: Shares of a language's documents tried as the least share that makes a word familiar. The lowest bounds the list:
-#: no more than the average number of distinct words of a document, divided by it, can be that frequent.
-FAMILIAR_SHARES = (0.05, 0.1, 0.15, 0.16, 0.17, 0.18, 0.2, 0.25, 0.3)
+#: Shares of a language's documents tried as the least share that makes a word familiar: 5 % to 40 % in equal steps. The
+#: lowest bounds the list: no more than the average number of distinct words of a document, divided by it, can be that frequent.
+FAMILIAR_SHARES = tuple(k / 40 for k in range(2, 17))
 #: Grade from which a text counts as demanding.
 DEMANDING = 10
 
@@ -40,10 +38,17 @@ for _lang, _words in _FUNCTION_WORDS.items():
     for _w in _words.split():
         _LANGUAGE_OF[_w] = (*_LANGUAGE_OF.get(_w, ()), _lang)
 
-_UNSEEN = re.compile("[­​-‏⁠﻿]")
+_UNSEEN = re.compile("[\xad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"\w+(?:[-'’]\w+)*")
+#: Scripts by their letters; those of the first three have no spaces between words, so single signs or pairs stand for words.
+_SCRIPTS = {"Kana": "\u3040-\u30ff", "Han": "\u3400-\u9fff\uf900-\ufaff", "Thai": "\u0e00-\u0e7f", "Hangul": "\uac00-\ud7af", "Cyrillic": "\u0400-\u052f", "Arabic": "\u0600-\u06ff", "Devanagari": "\u0900-\u097f", "Greek": "\u0370-\u03ff"}
+_OF_SCRIPT = {name: re.compile(f"[{c}]+") for name, c in _SCRIPTS.items()}
+_SIGNS = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[\u0e00-\u0e7f]{1,2}|[^\\W\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 _CAPITALIZED = re.compile(r"\b[A-ZÀ-ÖØ-ÞŒ]\w*(?:[-'’]\w+)*")
 _OTHER_SCRIPT = re.compile("[Ͱ-ᷟⰀ-鿿가-힣]+")
+#: A sentence's end — not behind an initial or a short title — and a capitalized word at a beginning.
+_END = re.compile(r"(?<!\b[A-Z])(?<!\b[DMS]r)(?<!\bSt)(?<!\bMrs)(?<!\bSra)[.!?…。！？।؟۔]+[\"'”’»)\]」』]*(?=\s|$)|[。！？]|(?<=[^\s.!?…])\s*\n")
+_START = re.compile(r"(?:\A|\n|[.!?…][\"'”’»)\]]*\s)[\s\"'“‘«„¿¡(—–-]*([A-ZÀ-ÖØ-ÞŒ]\w*(?:[-'’]\w+)*)")
 
 
 def language_of(words: Counter) -> str | None:
@@ -60,29 +65,43 @@ def language_of(words: Counter) -> str | None:
     return lang if n >= max(1 if total < 15 else 2, 0.02 * total) else None
 
 
-def text_statistics(text: str) -> tuple[str, int, int, list[str], list[int]] | None:
-    """(language, words, sentences, distinct words, how often each occurs but as a name); None for another language.
+def script_of(text: str) -> str:
+    """The script, other than Latin, of most letters; kana before Han where both occur; 'other' for none."""
+    counts = {name: sum(map(len, p.findall(text))) for name, p in _OF_SCRIPT.items()}
+    if counts["Kana"] > 0.1 * counts["Han"]:
+        counts["Kana"] += counts["Han"]
+    name = max(counts, key=counts.get)
+    return name if counts[name] else "other"
+
+
+def text_statistics(text: str | None) -> tuple[str | None, int, int, list[str], list[int]]:
+    """(language, words, sentences, distinct words, how often each occurs but as a name).
 
-    A word with a capital inside a sentence is a name and so familiar, but for German, which capitalizes nouns too.
+    The language is en, de, fr or es, else the script's name, else 'other'; None for a text without words. A word with a capital
+    inside a sentence is a name and so familiar, but for German, which capitalizes nouns too.
     """
+    if not text:
+        return None, 0, 0, [], []
     if not text.isascii():
         text = _UNSEEN.sub("", text)
     words = Counter(_WORD.findall(text.lower()))
     for w in [w for w in words if w[0].isdigit() or w[0] == "_"]:
         del words[w]
     letters = sum(len(w) * n for w, n in words.items())
-    if not letters or not text.isascii() and sum(map(len, _OTHER_SCRIPT.findall(text))) > 0.5 * letters:
-        return None
-    lang = language_of(words)
-    if lang is None:
-        return None
-    starts = [m for a, b in units(text) if (m := _WORD.search(text, a, b))]
+    if not letters:
+        return None, 0, 0, [], []
+    if not text.isascii() and sum(map(len, _OTHER_SCRIPT.findall(text))) > 0.5 * letters:
+        lang = script_of(text)
+        if lang in ("Kana", "Han", "Thai"):
+            words = Counter(w for w in _SIGNS.findall(text.lower()) if not w[0].isdigit() and w[0] != "_")
+    else:
+        lang = language_of(words) or "other"
     counts = list(words.values())
-    if lang != "de":
+    if lang in ("en", "fr", "es"):
         names = Counter(w.lower() for w in _CAPITALIZED.findall(text))
-        names.subtract(m.group().lower() for m in starts if m.group()[0].isupper())
+        names.subtract(w.lower() for w in _START.findall(text))
         counts = [max(0, n - names[w]) for w, n in words.items()]
-    return lang, sum(words.values()), len(starts), list(words), counts
+    return lang, words.total(), max(1, len(_END.findall(text))), list(words), counts
 
 
 def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -90,7 +109,7 @@ def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *s) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and (s := text_statistics(t))]
+            rows = [(k, *text_statistics(t)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             columns = [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.string()),
@@ -101,7 +120,7 @@ def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "lang", "n_words", "n_sentences", "words", "counts"])
 
-    return texts.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).where("_text is not null").mapInArrow(run, schema)
+    return texts.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def _tier_counts(statistics: DataFrame, tiers: dict[str, dict[str, int]]) -> DataFrame:
@@ -160,20 +179,20 @@ def fit_formula(rows: list[tuple[str, int, int, list[int], float]]) -> dict:
 
     One familiar share serves all languages: the one of least total loss in telling demanding texts from others. Labels
     that the first fit contradicts outright are left out of the second. A language with fewer than 8 labels of either
-    side is fitted together with all.
+    side is fitted together with all, and so are all languages without a weight of their own (named '').
     """
     x0 = np.array([(r[1], max(1, r[2])) for r in rows], float).reshape(-1, 2)
     grade = np.array([r[4] for r in rows], float)
     demanding = (grade >= DEMANDING - 0.5).astype(float)
     lang = np.array([r[0] for r in rows])
     outside = np.array([r[3] for r in rows], float).reshape(len(rows), len(FAMILIAR_SHARES))
-    groups = {name: lang == name for name in _FUNCTION_WORDS}
+    groups = {name: lang == name for name in (*_FUNCTION_WORDS, "")}
     for name, at in groups.items():
         if demanding[at].sum() < 8 or (1 - demanding[at]).sum() < 8:
             groups[name] = np.ones(len(rows), bool)
     best: dict = {}
     if not len(rows) or demanding.sum() in (0, len(rows)):
-        return {"share": 5, "weights": {n: [-14.0, 22.0, 0.16] for n in groups}, "grades": {n: [1.0, 12.0, 0.12] for n in groups}}
+        return {"share": FAMILIAR_SHARES.index(0.175), "weights": {n: [-14.0, 22.0, 0.16] for n in groups}, "grades": {n: [1.0, 12.0, 0.12] for n in groups}}
     for i in range(len(FAMILIAR_SHARES)):
         x = np.c_[outside[:, i] / x0[:, 0], x0[:, 0] / x0[:, 1]]
         total, weights = 0.0, {}
@@ -191,35 +210,54 @@ def fit_formula(rows: list[tuple[str, int, int, list[int], float]]) -> dict:
     return best
 
 
-def reading_levels(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
-    """(``key``, lang, unfamiliar, words_per_sentence, level, demanding) for each text in English, German, French or Spanish.
-
-    ``unfamiliar`` is the share of words outside the language's high-frequency list, ``level`` the grade by the formula,
-    1 to 13, and ``demanding`` whether the text is one for grade 10 or above as raters use the grades. The language is
-    told by the text. Null, blank and other texts give no row; repeated rows give one each. ``labels`` (``key``, ``grade``)
-    may have repeated rows, several raters (the median counts), null or impossible grades (left out); without usable
-    labels built-in weights serve. Other columns are left out. Empty tables give an empty result.
+def familiar_tiers(stats: DataFrame) -> dict[str, dict[str, int]]:
+    """Language → word → how many of FAMILIAR_SHARES its share of the language's documents reaches; words that reach none are left out.
 
-    Every text is parsed once; the words found are written to the shared folder, counted, and scored from there.
+    Words are counted over all documents; only those of the list reach the driver.
     """
-    stats = written(_statistics(texts, key, text))
-    of = {r["lang"]: r["n"] for r in stats.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    least = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v * FAMILIAR_SHARES[0])) for k, v in of.items()), F.lit(0.0)) if of else F.lit(0.0)
-    frequent = stats.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    told = stats.where("lang is not null")
+    of = {r["lang"]: r["n"] for r in told.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not of:
+        return {}
+    least = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v * FAMILIAR_SHARES[0])) for k, v in of.items()))
+    frequent = told.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     tiers: dict[str, dict[str, int]] = {}
     for r in frequent.collect():
         tiers.setdefault(r["lang"], {})[r["w"]] = sum(r["n"] >= s * of[r["lang"]] for s in FAMILIAR_SHARES)
-    counted = _tier_counts(stats, tiers)
+    return tiers
+
+
+def graded(counted: DataFrame, labels: DataFrame, key: str, grade: str) -> list[tuple]:
+    """(key, language, words, sentences, outside, grade) of about MOST_LABELS labelled texts at most, chosen by hash; the grade is the
+    median of the valid ones. Null and impossible grades, and texts without words, are left out."""
     valid = labels.select(F.col(key).cast("long").alias("_id"), F.col(grade).cast("double").alias("_g"), *([F.col("rater")] if "rater" in labels.columns else [])).where("_id is not null and _g between 1 and 13").distinct()
     wanted = bounded_sample(valid, "_id", MOST_LABELS).groupBy("_id").agg(F.median("_g").alias("_g"))
-    labelled = _tier_counts(stats.join(F.broadcast(wanted.select(F.col("_id").alias("_key"))), "_key", "left_semi"), tiers).join(F.broadcast(wanted), F.col("_key") == F.col("_id"))
-    rows = sorted((r["_key"], r["lang"], r["n_words"], r["n_sentences"], r["outside"], r["_g"]) for r in labelled.collect())
-    model = fit_formula([r[1:] for r in rows])
-    unfamiliar = F.get("outside", F.lit(model["share"])) / F.col("n_words")
-    length = F.col("n_words") / F.greatest(F.col("n_sentences"), F.lit(1))
+    rows = counted.where("lang is not null").join(wanted, F.col("_key") == F.col("_id")).collect()
+    return sorted((r["_key"], r["lang"], r["n_words"], r["n_sentences"], r["outside"], r["_g"]) for r in rows)
+
+
+def reading_levels(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
+    """(``key``, lang, unfamiliar, words_per_sentence, level, demanding) for each text, in any language.
+
+    ``unfamiliar`` is the share of words outside the high-frequency list of the text's language, ``level`` the grade by the formula,
+    1 to 13, and ``demanding`` whether the text is one for grade 10 or above as raters use the grades. The language is
+    told by the text: en, de, fr, es, or else a script's name or 'other'; languages without enough labels have the formula
+    fitted on all. Null texts and those without words have a null language and level and aren't demanding; repeated rows give one
+    each. ``labels`` (``key``, ``grade``) may have repeated rows, several raters (the median counts), null or impossible
+    grades (left out); without usable labels built-in weights serve. Other columns are left out. Empty tables give an empty result.
+
+    Every text is parsed once; the words found are written to the shared folder, counted, and compared with the list from there.
+    """
+    stats = written(_statistics(texts, key, text))
+    counted = written(_tier_counts(stats, familiar_tiers(stats)))
+    model = fit_formula([r[1:] for r in graded(counted, labels, key, grade)])
+    unfamiliar = F.get("outside", F.lit(model["share"])) / F.nullif(F.col("n_words"), F.lit(0))
+    length = F.col("n_words") / F.nullif(F.col("n_sentences"), F.lit(0))
 
     def formula(weights: dict[str, list[float]]):  # noqa: ANN202
-        return F.coalesce(*(F.when(F.col("lang") == k, F.lit(b[0]) + b[1] * F.col("unfamiliar") + b[2] * F.col("words_per_sentence")) for k, b in weights.items()))
+        of = lambda b: F.lit(b[0]) + b[1] * F.col("unfamiliar") + b[2] * F.col("words_per_sentence")
+        return F.coalesce(*(F.when(F.col("lang") == k, of(b)) for k, b in weights.items() if k), of(weights[""]))
 
     scored = counted.select(F.col("_key").alias(key), "lang", unfamiliar.alias("unfamiliar"), length.alias("words_per_sentence"))
-    return scored.withColumn("level", F.round(F.greatest(F.lit(1.0), F.least(F.lit(13.0), formula(model["grades"]))), 2)).withColumn("demanding", formula(model["weights"]) > 0)
+    level = F.round(F.greatest(F.lit(1.0), F.least(F.lit(13.0), formula(model["grades"]))), 2)
+    return scored.withColumn("level", F.when(F.col("lang").isNotNull(), level)).withColumn("demanding", F.coalesce(formula(model["weights"]) > 0, F.lit(False)))

@@ -99,12 +99,15 @@ def test_levels(spark):
     docs += [(1000, None), (1001, " "), (1002, "这是中文。" * 9), (1003, "Это русский текст."), (1, docs[1][1])]
     texts = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("clash"))
     labels = spark.createDataFrame([*grades, *grades[:5], (12, "b", None), (6, "b", 2)], "doc_id long, rater string, grade int")
-    rows = L.reading_levels(texts, labels).collect()
-    assert len(rows) == 301 and {x["lang"] for x in rows} == {"en"}
+    every = L.reading_levels(texts, labels).collect()
+    assert len(every) == 305 and {x["doc_id"]: x["lang"] for x in every if x["doc_id"] > 999} == {1000: None, 1001: None, 1002: "Han", 1003: "Cyrillic"}
+    assert all((x["level"] is None) == (x["lang"] is None) and (x["level"] is not None or not x["demanding"]) for x in every)
+    rows = [x for x in every if x["lang"] == "en"]
+    assert len(rows) == 301
     assert all(x["demanding"] == (x["doc_id"] % 6 == 0) for x in rows)
     assert all((x["level"] > 8) == x["demanding"] for x in rows)
     assert L.reading_levels(texts.limit(0), labels).count() == 0
-    assert L.reading_levels(texts, labels.limit(0)).count() == 301
+    assert L.reading_levels(texts, labels.limit(0)).count() == 305
 
 
 @pytest.mark.parametrize(("text", "lang"), [("Der Hund ist nicht da und das Tor war zu.", "de"), ("Il y a la clé ici, dit Ondine.", "fr"), ("Dax tiene el mapa y la llave de la torre.", "es"), ("The gate was shut.", "en"), ("cart sack stone fish", None)])
