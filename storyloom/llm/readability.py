@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,13 @@ _UNSEEN = re.compile("[\xad\u200b-\u200f\u2060\ufeff]")
 _WORD = re.compile(r"\w+(?:[-'’]\w+)*")
 #: Scripts by their letters; those of the first three have no spaces between words, so single signs or pairs stand for words.
 _SCRIPTS = {"Kana": "\u3040-\u30ff", "Han": "\u3400-\u9fff\uf900-\ufaff", "Thai": "\u0e00-\u0e7f", "Hangul": "\uac00-\ud7af", "Cyrillic": "\u0400-\u052f", "Arabic": "\u0600-\u06ff", "Devanagari": "\u0900-\u097f", "Greek": "\u0370-\u03ff"}
-_OF_SCRIPT = {name: re.compile(f"[{c}]+") for name, c in _SCRIPTS.items()}
+_OF_SCRIPT = {name: re.compile(f"[{c}]") for name, c in _SCRIPTS.items()}
 _SIGNS = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[\u0e00-\u0e7f]{1,2}|[^\\W\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 _CAPITALIZED = re.compile(r"\b[A-ZÀ-ÖØ-ÞŒ]\w*(?:[-'’]\w+)*")
 _OTHER_SCRIPT = re.compile("[Ͱ-ᷟⰀ-鿿가-힣]+")
-#: A sentence's end — not behind an initial or a short title — and a capitalized word at a beginning.
-_END = re.compile(r"(?<!\b[A-Z])(?<!\b[DMS]r)(?<!\bSt)(?<!\bMrs)(?<!\bSra)[.!?…。！？।؟۔]+[\"'”’»)\]」』]*(?=\s|$)|[。！？]|(?<=[^\s.!?…])\s*\n")
+#: Behind a sentence's end, and short titles whose full stop isn't one; a capitalized word at a beginning.
+_NEXT = re.compile(r"[.!?…।؟۔]+[\"'”’»)\]」』]*\s+|\n\s*|[。！？]+[”」』]*\s*")
+_TITLES = ("Mr. ", "Mrs. ", "Dr. ", "St. ", "Sr. ", "Sra. ")
 _START = re.compile(r"(?:\A|\n|[.!?…][\"'”’»)\]]*\s)[\s\"'“‘«„¿¡(—–-]*([A-ZÀ-ÖØ-ÞŒ]\w*(?:[-'’]\w+)*)")
 
 
@@ -67,7 +69,9 @@ def language_of(words: Counter) -> str | None:
 
 def script_of(text: str) -> str:
     """The script, other than Latin, of most letters; kana before Han where both occur; 'other' for none."""
-    counts = {name: sum(map(len, p.findall(text))) for name, p in _OF_SCRIPT.items()}
+    signs = Counter(text)
+    apart = "".join(signs)
+    counts = {name: sum(signs[c] for c in p.findall(apart)) for name, p in _OF_SCRIPT.items()}
     if counts["Kana"] > 0.1 * counts["Han"]:
         counts["Kana"] += counts["Han"]
     name = max(counts, key=counts.get)
@@ -85,9 +89,9 @@ def text_statistics(text: str | None) -> tuple[str | None, int, int, list[str],
     if not text.isascii():
         text = _UNSEEN.sub("", text)
     words = Counter(_WORD.findall(text.lower()))
-    for w in [w for w in words if w[0].isdigit() or w[0] == "_"]:
+    for w in [w for w in words if w[0] <= "9" or w[0] == "_" or w[0].isdigit()]:
         del words[w]
-    letters = sum(len(w) * n for w, n in words.items())
+    letters = sum(map(mul, map(len, words), words.values()))
     if not letters:
         return None, 0, 0, [], []
     if not text.isascii() and sum(map(len, _OTHER_SCRIPT.findall(text))) > 0.5 * letters:
@@ -98,10 +102,12 @@ def text_statistics(text: str | None) -> tuple[str | None, int, int, list[str],
         lang = language_of(words) or "other"
     counts = list(words.values())
     if lang in ("en", "fr", "es"):
-        names = Counter(w.lower() for w in _CAPITALIZED.findall(text))
-        names.subtract(w.lower() for w in _START.findall(text))
-        counts = [max(0, n - names[w]) for w, n in words.items()]
-    return lang, words.total(), max(1, len(_END.findall(text))), list(words), counts
+        names = Counter(map(str.lower, _CAPITALIZED.findall(text)))
+        names.subtract(map(str.lower, _START.findall(text)))
+        as_name = names.get
+        counts = [max(0, n - as_name(w, 0)) for w, n in words.items()]
+    sentences = len(_NEXT.findall(text.strip())) + 1 - sum(map(text.count, _TITLES))
+    return lang, words.total(), max(1, sentences), list(words), counts
 
 
 def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -95,8 +95,9 @@ class Leaf:
 def text_records(df: DataFrame, place: str, row_id: str, source: str, text: str, record: list[str] | None = None) -> DataFrame:
     """``df`` as (place, source, row_id, record, text) for the functions below; ``record`` are the columns that tell
     which rows are one record (default: the row id)."""
-    parts = F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in record or [row_id]))
-    return df.select(F.lit(place).alias("place"), F.col(source).alias("source"), F.col(row_id).cast("long").alias("row_id"), F.unhex(F.md5(parts)).alias("record"), F.col(text).alias("text"))
+    parts = F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in record or []))
+    which = F.unhex(F.md5(parts)) if record else F.coalesce(F.col(row_id).cast("string"), F.lit("")).cast("binary")
+    return df.select(F.lit(place).alias("place"), F.col(source).alias("source"), F.col(row_id).cast("long").alias("row_id"), which.alias("record"), F.col(text).alias("text"))
 
 
 def _parsed(records: DataFrame, depth: int) -> DataFrame:
@@ -191,10 +192,10 @@ class Repeated:
     """Templates and lines that occur too often within a source; see ``repeated_lines`` for what counts."""
 
     def __init__(self, records: DataFrame, least_records: int = 4, least_share: float = 0.02, depth: int = DEPTH, alike: float = ALIKE):
+        by = ["place", "source"]
         self.lines = written(_parsed(records, depth))
         own = self.lines.where("source is not null")
-        by = ["place", "source"]
-        per_source = records.where("source is not null").select(*by, "record").distinct().groupBy(*by).agg(F.count("*").alias("_of"))
+        per_source = written(records.where("source is not null").select(*by, "record").distinct().groupBy(*by).agg(F.count("*").alias("_of")))
 
         def often(counted: DataFrame) -> DataFrame:
             many = counted.where(F.col("_n") >= least_records).join(per_source, by)
@@ -202,20 +203,20 @@ class Repeated:
 
         # A node covers at least what any template below it covers.
         nodes = often(own.select(*by, "node", "record").distinct().groupBy(*by, "node").agg(F.count("*").alias("_n")))
-        below = own.join(nodes.select(*by, "node"), [*by, "node"], "left_semi")
-        seen = written(below.groupBy(*by, "node", "key", "record").agg(F.first("line").alias("line")))
-        per_line = seen.groupBy(*by, "node", "key").agg(F.first("line").alias("line"), F.count("*").alias("_n"))
-        trees = written(_partition_trees(per_line.select(*by, "node", "key", "line"), alike))
+        self.below = below = written(own.join(nodes.select(*by, "node"), [*by, "node"], "left_semi"))
+        trees = written(_partition_trees(below.select(*by, "node", "key", "line").distinct(), alike))
         merged = _merged_trees(trees.where("template is not null"), alike)
-        member = written(trees.where("key is not null").select(*by, "key", "part").join(merged, "part").drop("part"))
-        covered = often(seen.join(member, [*by, "key"]).select(*by, "template_id", "template", "record").distinct().groupBy(*by, "template_id", "template").agg(F.count("*").alias("_n")))
+        member = trees.where("key is not null").select(*by, "key", "part").join(merged, "part").drop("part")
+        seen = below.select(*by, "key", "record").distinct()
+        member = written(seen.join(member, [*by, "key"]))
+        covered = often(member.select(*by, "template_id", "template", "record").distinct().groupBy(*by, "template_id", "template").agg(F.count("*").alias("_n")))
         self.templates = covered.select(*by, F.translate("template", SLOT + WILD, "#*").alias("template"), F.col("_n").alias("records"), (F.col("_n") / F.col("_of")).alias("share"))
         # Lines of the templates that remain are checked by themselves: their tokens must agree in all but digits.
-        inside = member.join(covered.select(*by, "template_id"), [*by, "template_id"], "left_semi").select(*by, "key")
-        self.cases = often(per_line.select(*by, "key", "_n")).join(inside, [*by, "key"], "left_semi").select(*by, "key")
+        inside = member.join(covered.select(*by, "template_id"), [*by, "template_id"], "left_semi").groupBy(*by, "key").agg(F.count("*").alias("_n"))
+        self.cases = written(often(inside).select(*by, "key"))
 
     def found(self) -> DataFrame:
-        return self.lines.join(self.cases, ["place", "source", "key"], "left_semi").select("place", "row_id", "line_no").distinct()
+        return self.below.join(self.cases, ["place", "source", "key"], "left_semi").select("place", "row_id", "line_no").distinct()
 
     def found_without_source(self) -> DataFrame:
         """(place, row_id, line_no) of the lines in rows without source that are a case of any source of their place."""
