@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import mul
 
 import numpy as np
@@ -115,14 +116,15 @@ def _statistics(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *text_statistics(t)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [text_statistics(t) for t in batch.column(1).to_pylist()]
+            at = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32())
             columns = [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.string()),
+                batch.column(0),
+                pa.array([r[0] for r in rows], pa.string()),
+                pa.array([r[1] for r in rows], pa.int32()),
                 pa.array([r[2] for r in rows], pa.int32()),
-                pa.array([r[3] for r in rows], pa.int32()),
-                pa.array([r[4] for r in rows], pa.list_(pa.string())),
-                pa.array([r[5] for r in rows], pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(at, pa.array(list(chain.from_iterable(r[3] for r in rows)), pa.string())),
+                pa.ListArray.from_arrays(at, pa.array(list(chain.from_iterable(r[4] for r in rows)), pa.int32())),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "lang", "n_words", "n_sentences", "words", "counts"])
 

@@ -202,8 +202,9 @@ class Repeated:
             return many.where(F.col("_n") >= least_share * F.col("_of"))
 
         # A node covers at least what any template below it covers.
-        nodes = often(own.select(*by, "node", "record").distinct().groupBy(*by, "node").agg(F.count("*").alias("_n")))
-        self.below = below = written(own.join(nodes.select(*by, "node"), [*by, "node"], "left_semi"))
+        # They are written first, so that their measured size decides whether lines are shuffled to meet them.
+        nodes = written(often(own.select(*by, "node", "record").distinct().groupBy(*by, "node").agg(F.count("*").alias("_n"))).select(*by, "node"))
+        self.below = below = written(own.join(nodes, [*by, "node"], "left_semi"))
         trees = written(_partition_trees(below.select(*by, "node", "key", "line").distinct(), alike))
         merged = _merged_trees(trees.where("template is not null"), alike)
         member = trees.where("key is not null").select(*by, "key", "part").join(merged, "part").drop("part")
