@@ -42,15 +42,13 @@ def metadata_escape(c: Column) -> Column:
 
 def strip_leading_notes(c: Column) -> Column:
     """Without the bracketed asides and bare chapter numbers that lead a text, however they alternate."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^(?:\s*\[[^\]]*\]\s*|\s*\d+\.?[ \t]*(?:\n|$))+", ""), r"^\n+", "")
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)^(?:\s*\[[^\]]*\]\s*|\s*\d+\.?[ \t]*(?:\n|\z))++", ""), r"^\n+", "")
 
 
 def scene_breaks(c: Column) -> Column:
-    """Rows of stars, dashes or underscores and rules become a blank line. Each pattern is sought only where its sign occurs."""
-    for sign, pattern in (
-        ("\\*", r"(?U)\s*(?:\\\*){3,}\s*"), ("***", r"(?U)\s*\*{3,}\s*"), ("---", r"(?U)\s*-{3,}\s*"), ("___", r"(?U)\s*_{3,}\s*"), ("*", r"(?U)\s*(?:\*\s+){2,}\*\s*"), ("<", r"(?i)<hr(?U:\s)*/?>"),
-    ):
-        c = F.when(c.contains(sign), F.regexp_replace(c, pattern, "\n\n")).otherwise(c)
+    """Rows of stars, dashes or underscores and rules become a blank line."""
+    for pattern in (r"(?U)\s*(?:\\\*){3,}\s*", r"(?U)\s*\*{3,}\s*", r"(?U)\s*-{3,}\s*", r"(?U)\s*_{3,}\s*", r"(?U)\s*(?:\*\s+){2,}\*\s*", r"(?i)<hr(?U:\s)*/?>"):
+        c = F.regexp_replace(c, pattern, "\n\n")
     return c
 
 

@@ -23,6 +23,7 @@ LETTER_NAMES = {
     "a": "ay eh", "b": "bee", "c": "see sea cee", "d": "dee", "e": "ee", "f": "ef eff", "g": "gee", "i": "eye aye", "j": "jay", "k": "kay", "l": "el ell", "m": "em",
     "n": "en", "o": "oh owe", "p": "pee", "q": "cue queue", "r": "are", "s": "es ess", "t": "tee tea", "u": "you yew", "v": "vee", "x": "ex", "y": "why", "z": "zee zed",
 }
+# What makes a word stylized or joined.
 _STRETCHED = re.compile(r"(.)\1{2,}")
 _JOINED = re.compile(r"[a-z]{2,}[-–—/][a-z]{2,}", re.I)
 #: Characters from either edge of a text within which a word counts as at its boundary.

@@ -207,7 +207,7 @@ def _blocks(texts: pd.Series) -> pd.Series:
 
 def blocks_to_prose(text: Column) -> Column:
     """Tables, then rosters, as prose. Texts without a bar or a bracket aren't sent to Python."""
-    return F.when(text.rlike(r"(?m)^\s*\||\[CA PA\]|Goal Difference"), _blocks(text)).otherwise(text)
+    return F.coalesce(_blocks(F.when(text.rlike(r"(?im)^\s*\||\[CA PA\]|Goal Difference"), text)), text)
 
 
 @F.pandas_udf(struct(text=STRING, missing=array(STRING)))

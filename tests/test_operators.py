@@ -15,6 +15,8 @@ from storyloom.operators import normalize as M
 from storyloom.operators import phones as P
 from storyloom.operators import rollups as R
 from storyloom.operators import windows as W
+from storyloom.operators.figures import numbers
+from storyloom.operators.notices import notices_of
 
 # Conformance cases of the normalization steps.
 CASES = [
@@ -46,10 +48,17 @@ def test_normalization_steps(spark):
         assert r["got"] == r["expected"]
 
 
-def test_whole_normalization_and_notices():
-    assert M.normalize('[note]\n14.\n"Hi--you"...\n* * *\nThe FA', {"hi": "high"}) == '"high—you"…\n\nThe F. A.'
-    assert M.notices("One. This tale was stolen from Some Site. Two.", ("some site",)) == "One. Two."
-    assert M.notices("Nobody stole it.\nReport any sightings.") == "Nobody stole it.\n"
+def test_whole_normalization_and_notices(spark):
+    df = spark.createDataFrame([('[note]\n14.\n"Hi--you"...\n* * *\nThe FA',), (None,), ("a\n***\n---\nb",)], "t string")
+    assert [r[0] for r in df.select(M.normalized(F.col("t"), respelling={"hi": "high"})).collect()] == ['"high—you"…\n\nThe F. A.', None, "a\n\nb"]
+    gone = lambda t, *sites: notices_of(sites).without(t)
+    assert gone("One. This tale was stolen from Some Site. Two.", "some site") == "One. Two."
+    assert gone("Nobody stole it.\nReport any sightings.") == "Nobody stole it.\n"
+
+
+@pytest.mark.parametrize(("text", "spoken"), [("10.200.300", "ten point two zero zero.three hundred"), ("£5.5kg", "five pounds.5kg"), ("12,345.6", "12,three hundred forty-five point six"), ("a total of 1999", "a total of one thousand nine hundred ninety-nine"), ("1999 kg", "one thousand nine hundred ninety-nine kg"), ("24-hour 2-1", "twenty-four-hour 2-1"), ("B52 300kg", "B52 300kg")])
+def test_figures(text, spoken):
+    assert numbers(text) == spoken
 
 
 # Sentences that are notices, each by another rule, and sentences that only look like one.

@@ -80,5 +80,5 @@ def test_scratch_and_samples(spark):
 
 def test_registered_functions(spark):
     sql.register(spark)
-    assert spark.sql("select seq_ratio('ab', 'ab'), normalize_text('£3k'), number_to_words(42)").first()[:] == (1.0, "three thousand pounds", "forty-two")
+    assert spark.sql("select seq_ratio('ab', 'ab'), speak('£3k'), number_to_words(42)").first()[:] == (1.0, "three thousand pounds", "forty-two")
     assert [r["text"] for r in spark.sql("select * from chunk_text('One. Two.\n\nThree.', 'short')").collect()] == ["One. Two.", "Three."]
