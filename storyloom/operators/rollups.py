@@ -38,7 +38,7 @@ def confidence_tier(length: Column, corroborated: Column, reliable: Column) -> C
 
 def reliable_text(text: Column) -> Column:
     """No letter three times running, no capitals of three or more, no chain of hyphens."""
-    return ~(text.rlike(r"([A-Za-z])\1\1") | text.rlike(r"\b[A-Z]{3,}\b") | text.rlike(r"\w+-\w+-\w+"))
+    return ~(text.rlike(r"([A-Za-z])\1\1") | text.rlike(r"(?U)\b[A-Z]{3,}\b") | text.rlike(r"(?U)\w-\w+-\w"))
 
 
 def pace(df: DataFrame, by: list[str], rate: str, letters: str, least_letters: int) -> DataFrame:

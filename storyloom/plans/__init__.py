@@ -1,0 +1 @@
+from . import queries, report_queries  # noqa: F401

@@ -19,6 +19,7 @@ from ..operators import phones as P
 from ..operators import rollups as R
 from ..operators import windows as W
 from ..operators.normalize import normalized
+from ..sources.events import events_since
 from ..sources.html import chapter_links, page_parts
 from ..sources.tables import table
 
@@ -68,7 +69,8 @@ def ordinal_suffix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", N.ordinal_suffix(F.col("c_custkey")).alias("nth"))
 
 
-@query()
+@query(f"""WITH {_WORDS_SQL}, c AS (SELECT c_custkey, coalesce(nullif(concat_ws(' ', CASE WHEN c_custkey // 1000 > 0 THEN a[c_custkey // 1000 + 1] || ' thousand' END, CASE WHEN c_custkey % 1000 > 0 THEN a[c_custkey % 1000 + 1] END), ''), 'zero') AS x FROM customer, w),
+l AS (SELECT c_custkey, x, regexp_extract(x, '[a-z]+$') AS last FROM c) SELECT c_custkey, substr(x, 1, length(x) - length(last)) || CASE last WHEN 'one' THEN 'first' WHEN 'two' THEN 'second' WHEN 'three' THEN 'third' WHEN 'five' THEN 'fifth' WHEN 'eight' THEN 'eighth' WHEN 'nine' THEN 'ninth' WHEN 'twelve' THEN 'twelfth' ELSE CASE WHEN last LIKE '%y' THEN left(last, -1) || 'ieth' ELSE last || 'th' END END AS nth FROM l""")
 def ordinal_words_customers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", N.ordinal_words(F.col("c_custkey")).alias("nth"))
 
@@ -178,7 +180,8 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, value FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 100")
 def event_cursor(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("event_id > 500").orderBy("event_id").limit(100).select("event_id", "event_type", "value")
+    e = table(spark, d, "events").withColumnRenamed("event_type", "type")
+    return events_since(e, 500, 100, order="event_id").select("event_id", F.col("type").alias("event_type"), "value")
 
 
 @query("SELECT seq, fiction_id, book, chapter, chunk FROM jobs QUALIFY row_number() OVER (PARTITION BY fiction_id, book, chapter, chunk ORDER BY seq) = 1")
@@ -235,9 +238,9 @@ def cause_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT finding_id, CASE WHEN n >= 10 OR s > 0.9 THEN 'confirmed' WHEN NOT ok THEN 'probable_fp' WHEN n >= 8 THEN 'confirmed' WHEN n >= 6 THEN 'likely' ELSE 'borderline' END AS tier FROM (SELECT DISTINCT finding_id, coalesce(length(heard), 0) AS n, coalesce(severity, 0) AS s,
-NOT regexp_matches(coalesce(context, ''), '(^|[^\\p{L}\\p{N}_])[A-Z]{3,}([^\\p{L}\\p{N}_]|$)') AS ok FROM findings)""")
+NOT (regexp_matches(c, 'AAA|BBB') OR regexp_matches(c, '(^|[^\\p{L}\\p{M}\\p{N}_])[A-Z]{3,}([^\\p{L}\\p{M}\\p{N}_]|$)') OR regexp_matches(c, '[\\p{L}\\p{M}\\p{N}_]-[\\p{L}\\p{M}\\p{N}_]+-[\\p{L}\\p{M}\\p{N}_]')) AS ok FROM (SELECT *, coalesce(context, '') AS c FROM findings))""".replace("AAA|BBB", "|".join(x * 3 for x in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")))
 def tier_classification(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "findings").select("finding_id", F.coalesce(F.char_length("heard"), F.lit(0)).alias("n"), F.coalesce("severity", F.lit(0)).alias("s"), (~F.coalesce("context", F.lit("")).rlike(r"(^|[^\p{L}\p{N}_])[A-Z]{3,}([^\p{L}\p{N}_]|$)")).alias("ok")).distinct()
+    f = table(spark, d, "findings").select("finding_id", F.coalesce(F.char_length("heard"), F.lit(0)).alias("n"), F.coalesce("severity", F.lit(0)).alias("s"), R.reliable_text(F.coalesce("context", F.lit(""))).alias("ok")).distinct()
     return f.select("finding_id", R.confidence_tier(F.col("n"), F.col("s") > 0.9, F.col("ok")).alias("tier"))
 
 
