@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import keep_first
+from .windows import keep_first, numbered, ranged
 
 
 def percent(done: Column, total: Column) -> Column:
@@ -21,9 +21,8 @@ def issue_rates(findings: DataFrame, chunks: DataFrame, chapter: list[str], chun
     keys = [*chapter, chunk]
     per_chunk = findings.groupBy(*keys).agg(F.count("*").alias("_f"))
     all_ = chunks.select(*keys).distinct().join(per_chunk, keys, "left")
-    totals = all_.rollup(*chapter).agg(F.grouping_id().alias("_g"), F.count("*").alias("chunks"), F.coalesce(F.sum("_f"), F.lit(0)).alias("findings"), F.count_if(F.col("_f").isNotNull()).alias("bad_chunks"))
-    whole = (1 << len(chapter)) - 1
-    return totals.where(F.col("_g").isin(0, whole)).select(*chapter, (F.col("_g") == whole).alias("is_total"), "chunks", "findings", "bad_chunks", F.round(percent(F.col("bad_chunks"), F.col("chunks")), 2).alias("rate"))
+    totals = all_.groupingSets([[F.col(c) for c in chapter], []], *chapter).agg(F.grouping_id().alias("_g"), F.count("*").alias("chunks"), F.coalesce(F.sum("_f"), F.lit(0)).alias("findings"), F.count_if(F.col("_f").isNotNull()).alias("bad_chunks"))
+    return totals.select(*chapter, (F.col("_g") > 0).alias("is_total"), "chunks", "findings", "bad_chunks", F.round(percent(F.col("bad_chunks"), F.col("chunks")), 2).alias("rate"))
 
 
 def cause_histogram(findings: DataFrame, by: str, causes: str = "causes") -> DataFrame:
@@ -44,13 +43,15 @@ def reliable_text(text: Column) -> Column:
 def pace(df: DataFrame, by: list[str], rate: str, letters: str, least_letters: int) -> DataFrame:
     """Median, 99th centile (the value at ⌊0.99 n⌋ from 0, no interpolation), greatest and recalibrated (× 1.1) rates of long enough rows.
 
-    The centile is found by rank, so no list of a group's values is built.
+    Rows are counted by value before a group's values are put in order, so a group of many rows is as many as its distinct rates.
     """
     long = df.where((F.col(letters) >= least_letters) & F.col(rate).isNotNull())
     w = Window.partitionBy(*by)
-    ranked = long.withColumn("_k", F.row_number().over(w.orderBy(rate)) - 1).withColumn("_n", F.count("*").over(w))
-    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * 99 / 100))
-    return ranked.groupBy(*by).agg(F.count("*").alias("chunks"), F.median(rate).alias("median"), F.max(F.when(F.col("_k") == at, F.col(rate))).alias("p99"), F.max(rate).alias("greatest")).withColumn("recalibrated", F.col("greatest") * 1.1)
+    ranked = long.groupBy(*by, rate).agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(w.orderBy(rate))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda k: F.min(F.when(F.col("_upto") > F.floor(k), F.col(rate)))
+    low, high, n = at((F.col("_n") - 1) / 2), at(F.col("_n") / 2), F.col("_n")
+    p99 = at(F.least(n - 1, F.floor(n * 99 / 100)))
+    return ranked.groupBy(*by).agg(F.max("_n").alias("chunks"), ((low + high) / 2).alias("median"), p99.alias("p99"), F.max(rate).alias("greatest")).withColumn("recalibrated", F.col("greatest") * 1.1)
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -81,14 +82,22 @@ def collisions(df: DataFrame, key: str, item: str) -> DataFrame:
 def owner_as_of(df: DataFrame, owners: DataFrame, by: list[str], at: str, start: str, owner: str) -> DataFrame:
     """``df`` with the owner of the greatest ``start`` below ``at`` within ``by``; null if there is none.
 
-    Rows and owners are merged into one order and the last owner is carried forward: one sort, no comparison of all with all.
+    Rows and owners are merged into one order, cut into ranges and written. Each range carries the last owner forward by
+    itself, from the last one of the ranges before it, of which there is one row a range; so a ``by`` of many rows is many tasks.
     """
     cols = df.columns
     rows = df.select("*", F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(owners.schema[owner].dataType).alias("_owner"))
     marks = owners.select(*by, F.col(start).alias("_at"), F.lit(1).alias("_kind"), F.col(owner).alias("_owner"))
-    w = Window.partitionBy(*by).orderBy("_at", "_kind", "_owner").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = rows.unionByName(marks, allowMissingColumns=True)
-    return merged.withColumn(owner, F.last("_owner", ignorenulls=True).over(w)).where("_kind = 0").select(*cols, owner)
+    merged = ranged(rows.unionByName(marks, allowMissingColumns=True), [*by, "_at", "_kind"])
+    order = Window.partitionBy(*by, "_p").orderBy("_at", "_kind", "_owner").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = merged.groupBy(*by, "_p").agg(F.max_by("_owner", F.when(F.col("_kind") == 1, F.struct("_at", "_owner"))).alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*(F.col(c).alias(f"_c_{c}") for c in by), F.col("_p").alias("_q"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    owned = merged.withColumn("_own", F.last("_owner", ignorenulls=True).over(order)).where("_kind = 0").join(carried, same, "left")
+    return owned.withColumn(owner, F.coalesce("_own", "_carried")).select(*dict.fromkeys([*cols, owner]))
 
 
 def merged_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,13 +116,13 @@ def worst_match(findings: DataFrame, faults: DataFrame, keys: list[str]) -> Data
     return findings.join(worst, "finding_id", "left")
 
 
-def length_batches(df: DataFrame, by: list[str], key: str, length: str, budget: int) -> DataFrame:
+def length_batches(df: DataFrame, key: str, length: str, budget: int) -> DataFrame:
     """Rows, the longest first, in batches whose padded size — rows times the longest — stays within ``budget``: (.., batch).
 
-    By powers of two: rows of a length class fill batches of ⌊budget / class bound⌋ rows, so that no group has to be walked in order.
-    A row longer than the budget is a batch by itself.
+    By powers of two: rows of a length class fill batches of ⌊budget / class bound⌋ rows. Rows are numbered within their class by ranges,
+    so that no class is walked in one task. A row longer than the budget is a batch by itself; a null length counts as 1.
     """
     bound = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col(length), F.lit(1))))).cast("long")
-    d = df.withColumn("_b", bound).withColumn("_cap", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("_b"))))
-    w = Window.partitionBy(*by, "_b").orderBy(F.desc(length), key)
-    return d.withColumn("batch", F.concat_ws("-", F.col("_b"), F.floor((F.row_number().over(w) - 1) / F.col("_cap")))).drop("_b", "_cap")
+    d = df.withColumn("_b", bound).withColumn("_cap", F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("_b")))).withColumn("_neg", -F.coalesce(length, F.lit(0)))
+    n = numbered(d, ["_neg", key], "_k", start=0, within=["_b"])
+    return n.withColumn("batch", F.concat_ws("-", F.col("_b"), F.floor(F.col("_k") / F.col("_cap")))).drop("_b", "_cap", "_neg", "_k")

@@ -52,20 +52,24 @@ def limiter_gain(df: DataFrame, owner: list[str], order: str, gain: str, half: i
     return low.withColumn("smoothed", (F.sum("_low").over(around) + (2 * half + 1 - inside)) / (2 * half + 1)).drop("_low")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 1) -> DataFrame:
-    """``df`` numbered from ``start`` in a global order without bringing all rows into one task.
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in ranges of a global order, written, with a column ``_p`` that numbers them. The bounds come from a sample that is another one
+    at each run, so the ranges are cut once."""
+    return written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
 
-    Rows are sorted by ranges, each range is numbered by itself, and the ranges' sizes — one number a task — shift the rest.
-    The ranges are cut once and written, for their bounds come from a sample that is another one at each run. Of rows that are
-    equal in ``order``, any may come first.
+
+def numbered(df: DataFrame, order: list[str], name: str = "n", start: int = 1, within: list[str] | None = None) -> DataFrame:
+    """``df`` numbered from ``start`` in a global order, or in that of each ``within``, without bringing a group's rows into one task.
+
+    Rows are sorted by ranges, each range is numbered by itself, and the ranges' sizes — a row for each range and group that
+    it holds — shift the rest. Of rows that are equal in ``order``, any may come first.
     """
-    parts = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = dict(parts.groupBy("_p").count().collect())
-    shift, at = {}, start - 1
-    for p in sorted(sizes):
-        shift[p], at = at, at + sizes[p]
-    if not shift:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    base = F.element_at(F.create_map(*(F.lit(x) for kv in shift.items() for x in kv)), F.col("_p"))
-    w = Window.partitionBy("_p").orderBy(*order)
-    return parts.withColumn(name, (base + F.row_number().over(w)).cast("long")).drop("_p")
+    groups = within or []
+    parts = ranged(df, [*groups, *order])
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(*groups, "_p").count().select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_p").alias("_q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    same = F.col("_p") == F.col("_q")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    w = Window.partitionBy(*groups, "_p").orderBy(*order)
+    return parts.withColumn(name, F.row_number().over(w)).join(sizes, same).withColumn(name, (F.col(name) + F.col("_shift") + (start - 1)).cast("long")).select(*dict.fromkeys([*df.columns, name]))

@@ -311,7 +311,7 @@ def worst_match(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, b || '-' || CAST(floor((row_number() OVER (PARTITION BY b ORDER BY n DESC, doc_id) - 1) / greatest(1, floor(100000.0 / b))) AS BIGINT) AS batch FROM (SELECT doc_id, n, CAST(pow(2, ceil(log2(greatest(n, 1)))) AS BIGINT) AS b FROM (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents))""")
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n"))
-    return R.length_batches(docs, [], "doc_id", "n", 100_000).select("doc_id", "batch")
+    return R.length_batches(docs, "doc_id", "n", 100_000).select("doc_id", "batch")
 
 
 @query("""SELECT doc_id, CASE WHEN n >= 40 AND s < n / 14.0 THEN round(1 - s / (n / 14.0), 9) END AS shortfall FROM (SELECT d.doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n, c.s FROM documents d JOIN (SELECT fiction_id, book, chapter, max(audio_duration_seconds) / 30 AS s FROM chapters GROUP BY ALL) c USING (fiction_id, book, chapter))""")
