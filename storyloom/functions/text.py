@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The white space of Unicode (property White_Space).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def where_has(c: Column, signs: list[str], f: Callable[[Column], Column]) -> Column:
+    """``f`` of the texts that hold one of ``signs``; others as they are. ``c`` is evaluated once, however such steps are chained."""
+
+    def step(x: Column) -> Column:
+        holds = F.contains(x, F.lit(signs[0]))
+        for sign in signs[1:]:
+            holds = holds | F.contains(x, F.lit(sign))
+        return F.when(holds, f(x)).otherwise(x)
+
+    return F.get(F.transform(F.array(c), step), F.lit(0))
 
 
 def collapse(c: Column) -> Column:
@@ -47,8 +64,10 @@ def strip_leading_notes(c: Column) -> Column:
 
 def scene_breaks(c: Column) -> Column:
     """Rows of stars, dashes or underscores and rules become a blank line."""
-    for pattern in (r"(?U)\s*(?:\\\*){3,}\s*", r"(?U)\s*\*{3,}\s*", r"(?U)\s*-{3,}\s*", r"(?U)\s*_{3,}\s*", r"(?U)\s*(?:\*\s+){2,}\*\s*", r"(?i)<hr(?U:\s)*/?>"):
-        c = F.regexp_replace(c, pattern, "\n\n")
+    for signs, pattern in (
+        (["\\*"], r"(?U)\s*(?:\\\*){3,}\s*"), (["***"], r"(?U)\s*\*{3,}\s*"), (["---"], r"(?U)\s*-{3,}\s*"), (["___"], r"(?U)\s*_{3,}\s*"), (["*"], r"(?U)\s*(?:\*\s+){2,}\*\s*"), (["<"], r"(?i)<hr(?U:\s)*/?>"),
+    ):
+        c = where_has(c, signs, lambda x, p=pattern: F.regexp_replace(x, p, "\n\n"))
     return c
 
 

@@ -30,13 +30,13 @@ _TIME = re.compile(r"(\d+)\s+([ap])(?:\.m\.|m)(?!\w)", re.I)
 
 def punctuation(c: Column) -> Column:
     """Dashes, ellipses, repeated marks and emphasis; '2 > 4' as a rise, '/week' as 'per week', other strokes as spaces."""
-    dashes = F.regexp_replace(F.regexp_replace(c, r"(?U)(?<=\w)--(?=\w)", "—"), r"(?U)\s--\s", " — ")
-    marks = F.regexp_replace(F.regexp_replace(dashes, r"\.{3,}", "…"), r"([!?])\1+", "$1")
-    bare = F.regexp_replace(marks, r"\*\*([^*]+)\*\*|\*([^*\n]+)\*", "$1$2")
-    bare = F.regexp_replace(bare, r"(?U)__([^_]+)__|\b_([^_]+)_\b", "$1$2")
-    rises = F.regexp_replace(bare, r"(?U)(?<=[\d%)])\s*>\s*(?=[£$€\d])", ", rising to ")
-    strokes = F.regexp_replace(F.regexp_replace(rises, rf"(?iU)/\s*({PER})\b", " per $1"), r"(?U)(?<=\w)\s*/\s*(?=\w)", " ")
-    return F.replace(strokes, F.lit("*"), F.lit(""))
+    for signs, pattern, to in (
+        (["--"], r"(?U)--(?<=\w--)(?=\w)", "—"), (["--"], r"(?U)\s--\s", " — "), (["..."], r"\.{3,}", "…"), (["!!", "??"], r"([!?])\1+", "$1"),
+        (["*"], r"\*\*([^*]+)\*\*|\*([^*\n]+)\*", "$1$2"), (["_"], r"(?U)__([^_]+)__|\b_([^_]+)_\b", "$1$2"), ([">"], r"(?U)(?<=[\d%)])\s*>\s*(?=[£$€\d])", ", rising to "),
+        (["/"], rf"(?iU)/\s*({PER})\b", " per $1"), (["/"], r"(?U)(?<=\w)\s*/\s*(?=\w)", " "),
+    ):
+        c = T.where_has(c, signs, lambda x, p=pattern, t=to: F.regexp_replace(x, p, t))
+    return F.replace(c, F.lit("*"), F.lit(""))
 
 
 def lexicon(text: str, respelling: dict[str, str]) -> str:
@@ -74,7 +74,7 @@ def _by_text(c: Column, f: Callable[[str], str]) -> Column:
 
 def _notices(c: Column, sites: tuple[str, ...]) -> Column:
     gone = _by_text(c, lambda t: notices_of(sites).without(t))
-    return F.regexp_replace(F.regexp_replace(gone, "\n{3,}", "\n\n"), " +", " ")
+    return F.regexp_replace(F.regexp_replace(gone, "\n{3,}", "\n\n"), " {2,}", " ")
 
 
 #: The steps by name, in the order in which they apply.
