@@ -11,8 +11,11 @@ import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -27,8 +30,9 @@ DEPTH, ALIKE = 2, 0.6
 _DIGITS = re.compile(r"\d+")
 _ASCII_DIGIT = re.compile("[0-9]")
 _THREE_LETTERS = re.compile(r"(?:[^\W\d_][\W\d_]*){3}")
-#: Lines, and templates, that a worker keeps; beyond that it starts afresh, which changes no result of repeated_lines.
-_KEPT = 200_000
+#: What a worker holds at a time; beyond that it starts afresh, which changes no result of repeated_lines. Parsed lines kept, and the longest of
+#: them in characters: long lines seldom recur. Bytes of the texts parsed together. Tokens of the templates in a partition's trees. Rows handed over together.
+_SEEN, _SHORT, _BYTES, _TOKENS, _ROWS = 10_000, 200, 1 << 20, 300_000, 10_000
 
 
 class LineParser:
@@ -47,9 +51,10 @@ class LineParser:
         except KeyError:
             pass
         found = self._parse(line) if _THREE_LETTERS.search(line) else None
-        if len(self.seen) >= _KEPT:
-            self.seen.clear()
-        self.seen[line] = found
+        if len(line) <= _SHORT:
+            if len(self.seen) >= _SEEN:
+                self.seen.clear()
+            self.seen[line] = found
         return found
 
     def _parse(self, line: str) -> tuple[bytes, int, str]:
@@ -100,26 +105,45 @@ def text_records(df: DataFrame, place: str, row_id: str, source: str, text: str,
     return df.select(F.lit(place).alias("place"), F.col(source).alias("source"), F.col(row_id).cast("long").alias("row_id"), which.alias("record"), F.col(text).alias("text"))
 
 
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``_BYTES`` of the texts in ``column``; a longer text is a slice by itself."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + _BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _parsed(records: DataFrame, depth: int) -> DataFrame:
     """(place, source, row_id, record, line_no, key, node, line) of each line that counts."""
     names = ["place", "source", "row_id", "record", "line_no", "key", "node", "line"]
 
+    def lines_of(parser: LineParser, batch: pa.RecordBatch) -> pa.RecordBatch:
+        parent: list[int] = []
+        numbers: list[int] = []
+        found: list[tuple[bytes, int, str]] = []
+        for i, text in enumerate(batch.column(4).to_pylist()):
+            for n, line in enumerate(text.split("\n"), 1):
+                if len(line) > 2 and (x := parser.parse(line)) is not None:
+                    parent.append(i)
+                    numbers.append(n)
+                    found.append(x)
+        at = pa.array(parent, pa.int64())
+        keys, nodes, lines = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(4)), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = LineParser(depth)
         gc.disable()  # many small objects and no cycles
-        for batch in batches:
-            parent: list[int] = []
-            numbers: list[int] = []
-            found: list[tuple[bytes, int, str]] = []
-            for i, text in enumerate(batch.column(4).to_pylist()):
-                for n, line in enumerate(text.split("\n"), 1):
-                    if len(line) > 2 and (x := parser.parse(line)) is not None:
-                        parent.append(i)
-                        numbers.append(n)
-                        found.append(x)
-            at = pa.array(parent, pa.int64())
-            keys, nodes, lines = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(4)), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=names)
+        try:
+            for batch in batches:
+                for portion in _portions(batch, 4):
+                    yield lines_of(parser, portion)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+            pa.default_memory_pool().release_unused()
 
     return records.where("text is not null").mapInArrow(run, "place string, source string, row_id long, record binary, line_no int, key binary, node long, line string")
 
@@ -137,9 +161,9 @@ def _partition_trees(lines: DataFrame, alike: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["place", "source", "node", "key", "part", "template"])
 
         def grown() -> Iterator[pa.RecordBatch]:
-            rows = [(*at, None, n, " ".join(t)) for at, leaf in leaves.items() for t, n in zip(leaf.templates, leaf.names)]
-            if rows:
-                yield packed(rows)
+            rows = ((*at, None, n, " ".join(t)) for at, leaf in leaves.items() for t, n in zip(leaf.templates, leaf.names))
+            while some := list(islice(rows, _ROWS)):
+                yield packed(some)
             leaves.clear()
 
         held = 0
@@ -148,12 +172,13 @@ def _partition_trees(lines: DataFrame, alike: float) -> DataFrame:
             for place, source, node, key, line in zip(*(c.to_pylist() for c in batch.columns)):
                 leaf = leaves.setdefault((place, source, node), Leaf())
                 name += 1
-                part = leaf.add(line.split(" "), name, alike)
-                held += part == name
+                tokens = line.split(" ")
+                part = leaf.add(tokens, name, alike)
+                held += len(tokens) * (part == name)
                 rows.append((place, source, node, key, part, None))
             if rows:
                 yield packed(rows)
-            if held >= _KEPT:
+            if held >= _TOKENS:
                 yield from grown()
                 held = 0
         yield from grown()

@@ -3,8 +3,11 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from storyloom.llm import lookalike as L
@@ -58,6 +61,47 @@ def test_keys_and_nodes_depend_on_tokens():
     assert a.parse("one two three")[1] != node != a.parse("one x three 4")[1]
 
 
+def test_a_parser_holds_little():
+    parser = R.LineParser()
+    tracemalloc.start()
+    try:
+        for i in range(30_000):
+            parser.parse(f"line {i} of a story" + " and so on" * (30 * (i % 2)))
+        assert tracemalloc.get_traced_memory()[0] < 8e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_portions_are_small_and_whole():
+    texts = ["x" * n for n in (0, 5, R._BYTES, 3 * R._BYTES, 1, *[R._BYTES // 4] * 9, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 1)), pa.array(["", *texts])], names=["id", "text"]).slice(1)
+    parts = list(R._portions(batch, 1))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= R._BYTES for p in parts) and len(parts) < 8
+    assert not list(R._portions(batch.slice(0, 0), 1))
+
+
+def test_trees_are_handed_over_by_their_tokens(monkeypatch):
+    monkeypatch.setattr(R, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = R._partition_trees(SimpleNamespace(mapInArrow=lambda f, _: f), R.ALIKE)
+    taken, most, joined, named = 0, 0, [], []
+
+    def batches():
+        nonlocal taken
+        for start in range(0, 20_000, 1_000):
+            taken += 1_000
+            rows = [("p", "s", i, b"%d" % i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(start, start + 1_000)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["place", "source", "node", "key", "line"])
+
+    for batch in run(batches()):
+        assert batch.num_rows <= 10_000
+        for r in batch.to_pylist():
+            (named if r["key"] is None else joined).append(r["part"])
+        most = max(most, taken - len(named))
+    assert sorted(joined) == sorted(named) and len(set(named)) == taken == 20_000
+    assert most * 40 <= 400_000
+
+
 def test_templates_merge_with_wildcards():
     leaf, other = R.Leaf(), R.Leaf()
     assert [leaf.add(x.split(), n) for n, x in enumerate(["posted by alice on monday", "posted by bob on friday", "posted by a guest reader", "posted by alice on sunday"])] == [0, 0, 2, 0]
